@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_codec, token_store
 from .quality_rules import quality_rules
 from .source_mix import source_mix
 from .url_filter import url_filter
 
+END_ID = 2
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -26,13 +28,31 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = bpe_codec.Codec.from_path(tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), codec)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_store.Tokens.from_path(tokenizer_path("byte_bpe_50k.json"))
+    return token_store.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, END_ID)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op8_url_filter)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
