@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_store
+from . import bpe_codec, ppm_language, token_store
 from .quality_rules import quality_rules
 from .source_mix import source_mix
 from .url_filter import url_filter
@@ -51,8 +51,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, END_ID)
 
 
+def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
 
 
 def oracle_sql() -> dict[str, str]:
