@@ -47,15 +47,17 @@ def base(docs: DataFrame) -> DataFrame:
         lambda acc, i: F.struct((i + WINDOW).alias("end"), (acc["sum"] + i + WINDOW - F.greatest(acc["end"], i)).alias("sum")),
         lambda acc: acc["sum"],
     )
+    stutters = F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACE.replace("[", "[^", 1)))
     x = x.withColumn("lines", lines)
     measures = F.struct(
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("twice"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        stutters.cast("long").alias("n_stutters"),
     )
     # A filter on the measures must not be pushed below them: substituted into it, the word array would be
     # split again for each window.  Nothing is pushed through a generator.
@@ -65,14 +67,17 @@ def base(docs: DataFrame) -> DataFrame:
 
 def rules() -> dict[str, Column]:
     """What each rule rejects, on the columns of base()."""
-    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    # regexp_count would build an array of all matches; lengths need no array.
+    left = lambda other: F.length(F.regexp_replace("text", other, ""))
+    letters = left(r"\P{L}+")
     return {
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-        "few_letters": 10 * count(r"\p{L}[^\x20\x09-\x0D]*") < 7 * F.col("n_words"),
-        "shouting": 2 * count(r"\p{Lu}") > count(r"\p{L}"),
-        "exclamations": 10 * count(r"!!+") > F.col("n_words"),
+        "repeated_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
+        "few_letters": 10 * letters < 6 * F.col("word_chars"),
+        "shouting": 2 * left(r"\P{Lu}+") > letters,
+        "exclamations": 5 * left("[^!]+") > F.col("n_words"),
+        "stutter": 10 * F.col("n_stutters") > 3 * F.col("n_words"),
     }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe_codec, ppm_language, token_store
 from .quality_rules import quality_rules
 from .source_mix import source_mix
+from .topk_kdtree import topk
 from .url_filter import url_filter
 
 END_ID = 2
@@ -23,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[5, 2, 1], cap=3.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,7 +62,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_exact_topk, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
 
 
 def oracle_sql() -> dict[str, str]:
