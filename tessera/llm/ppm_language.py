@@ -7,7 +7,7 @@ distinct)), and the same in the next shorter context, down to 1/256 for any byte
 exact code length of all its bytes under these frozen counts; the language with the shortest code wins,
 ties to the smaller name, and the score is its posterior under equal priors.
 
-Training takes, per language, at most ``train_rows`` rows with the smallest hash of id and text (the
+Training takes, per language, at most ``train_rows`` rows with the smallest hash of the id (the
 bound that this operator documents), and of those at most ``train_bytes`` bytes in all, whole texts.
 
 Null text or text without a letter is ``und`` with score 0, as is every text if nothing was learned.
@@ -133,9 +133,11 @@ class Model:
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model of labelled(text, lang, order): one task learns a language from its bounded sample."""
     by_order = Window.partitionBy("lang").orderBy("order")
-    sample = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "order")
-    # Spark keeps only the first rows of each group before it shuffles them.
-    sample = sample.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= train_rows)
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "order")
+    ranked = lambda x: x.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= train_rows)
+    # The sample's last hash is found without texts; then only the sample's texts are moved.
+    last = ranked(labelled.select("lang", "order")).groupBy("lang").agg(F.max("order").alias("last"))
+    sample = ranked(labelled.join(last, "lang").where(F.col("order") <= F.col("last")).drop("last"))
 
     def learn(rows):
         import pandas as pd
@@ -197,5 +199,5 @@ def held_out_predictions(docs: DataFrame, fold: int = 2, folds: int = 4) -> Data
     """doc_id, held_out, lang_pred, score: learned from documents outside the fold crc32(doc_id) mod folds, applied to all."""
     docs = docs.select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    labelled = docs.where(~held_out).select("lang", "text", F.struct(F.xxhash64("doc_id", "text"), "doc_id").alias("order"))
+    labelled = docs.where(~held_out).select("lang", "text", F.struct(F.xxhash64("doc_id"), "doc_id").alias("order"))
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), train(labelled))
