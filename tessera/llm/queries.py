@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, ppm_language, token_store
+from .jaccard_join import jaccard_groups
 from .quality_rules import quality_rules
 from .source_mix import source_mix
 from .topk_kdtree import topk
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,7 +67,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_exact_topk, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_exact_topk, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
 
 
 def oracle_sql() -> dict[str, str]:
