@@ -27,9 +27,13 @@ from .common import save, small_batches, worker_cache
 
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
 ROLL, MEAN, MOST = 8, 256, 4_096
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
-ROW = "uid long, doc_id long, kind string, shard int, start long, n_tokens long, keys array<binary>, lens array<int>, owned array<boolean>, lent array<boolean>, root binary, payload binary"
+KEY = 16
+#: keys and lens are packed: KEY bytes and a little-endian unsigned 32-bit number for each chunk; marks has a
+#: byte for each chunk, OWNED if the payload holds it, plus LENT if another place refers to it.
+ROW = "uid long, doc_id long, kind string, shard int, start long, n_tokens long, keys binary, lens binary, marks binary, borrows boolean, lends boolean, root binary, payload binary"
+OWNED, LENT = 1, 2
 
 
 class Tokens:
@@ -48,40 +52,63 @@ class Tokens:
         """Little-endian unsigned 32-bit ids of each text.
 
         A byte-level pre-token never spans the place between a character that isn't white space and a
-        space, so texts are cut there.  Texts with a space after white space are encoded as a whole.
+        space, so texts are cut there, and a part is encoded once in a batch; frequent parts are kept.  A
+        space and letters are one pre-token and go straight to the model.  Texts with a space after white
+        space are encoded as a whole.
         """
         import os
         import re
-
-        import numpy as np
+        from array import array
 
         cache = worker_cache()
         if self.name not in cache:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            cache[self.name] = Tokenizer.from_str(self.json_file), {}
-        tokenizer, known = cache[self.name]
-        unsafe = re.compile(r"\s ")
-        parts = []
-        for text in texts:
-            if unsafe.search(text):
-                parts.append([text])
-            else:
-                first, *rest = text.split(" ")
-                parts.append([*([first] if first else []), *[" " + x for x in rest]])
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = list({x for own in parts for x in own if x not in known})
-        for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join([known[x] for x in own]) for own in parts]
-        for own in parts:  # whole texts aren't kept
-            if len(own) == 1 and len(own[0]) > 256:
-                known.pop(own[0], None)
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            tokenizer = Tokenizer.from_str(self.json_file)
+            written = {i: c for i, c in enumerate(byte_letters(pre_tokenizers.ByteLevel.alphabet()))}
+            cache[self.name] = tokenizer, tokenizer.model, written, {}
+        tokenizer, model, written, known = cache[self.name]
+        space, unsafe, tokenize = written[0x20], re.compile(r"\s |\x00"), model.tokenize
+        parts = [None if unsafe.search(x) else x.replace(" ", "\0 ").split("\0") for x in texts]
+        used = set().union(*(own for own in parts if own is not None))
+        new = used.difference(known)
+        ids = {"": b"", **{x: known[x] for x in used.difference(new)}}
+        words = {x for x in new if x[:1] == " " and x[1:].isalpha()}
+        # A comma or full stop after letters is a pre-token of its own.
+        stops = [x for x in new.difference(words) if x[-1:] in (",", ".") and x[:1] == " " and x[1:-1].isalpha()]
+        odd = list(new.difference(words, stops, ids)) + [x for x, own in zip(texts, parts, strict=True) if own is None]
+        words.update(x for x in (s[:-1] for s in stops) if x not in ids)
+        words = list(words)
+        found = [tokenize(space + x[1:] if x.isascii() else space + x[1:].encode().decode("latin-1").translate(written)) for x in words]
+        raw = array("I", [t.id for tokens in found for t in tokens]).tobytes()
+        at = 0
+        for x, tokens in zip(words, found, strict=True):
+            ids[x] = raw[at : (at := at + 4 * len(tokens))]
+        for x, e in zip([*odd, ",", "."], tokenizer.encode_batch_fast([*odd, ",", "."], add_special_tokens=False), strict=True):
+            ids[x] = array("I", e.ids).tobytes()
+        for x in stops:
+            ids[x] = ids[x[:-1]] + ids[x[-1]]
+        get = ids.__getitem__
+        out = [ids[x] if own is None else b"".join(map(get, own)) for x, own in zip(texts, parts, strict=True)]
+        if len(known) < CACHE_ENTRIES:
+            known.update((x, v) for x, v in ids.items() if len(x) <= 24)
         return out
 
 
+def byte_letters(alphabet: list[str]) -> list[str]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Fixed by the format: printable bytes stand for themselves, the others for code points from 256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    letters = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+    if set(letters) != set(alphabet):
+        raise ValueError("not a byte-level alphabet")
+    return letters
+
+
 def cuts(ids) -> list[int]:
     """Ends of the chunks of an id array."""
     import numpy as np
@@ -105,7 +132,7 @@ def cuts(ids) -> list[int]:
 
 
 def digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()[:16]
+    return hashlib.sha256(chunk).digest()[:KEY]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -148,19 +175,19 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
                 ids = np.frombuffer(raw, dtype="<u4")
                 ends = cuts(ids)
                 n.append(len(ids))
-                keys.append([digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)])
-                lens.append([b - a for a, b in zip([0, *ends], ends, strict=False)])
+                keys.append(b"".join([digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]))
+                lens.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
                 payloads.append(pack(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32())), pa.array(payloads, pa.binary())],
+                [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(lens, pa.binary()), pa.array(payloads, pa.binary())],
                 names=["uid", "doc_id", "n_tokens", "keys", "lens", "payload"],
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    staged = save(numbered.mapInArrow(encoded, "uid long, doc_id long, n_tokens long, keys array<binary>, lens array<int>, payload binary"))
+    staged = save(numbered.mapInArrow(encoded, "uid long, doc_id long, n_tokens long, keys binary, lens binary, payload binary"))
 
     # Which chunks occur again, and which occurrence comes first: digests and places only, no payload.
-    places = staged.select("doc_id", "uid", F.posexplode("keys").alias("pos", "key"))
+    places = staged.select("doc_id", "uid", *exploded_keys())
     owners = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("owner")).where("n > 1").drop("n")
     again = places.join(owners, "key")
     is_owner = (F.col("owner.uid") == F.col("uid")) & (F.col("owner.pos") == F.col("pos"))
@@ -177,24 +204,23 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        start, roots, note, ids = 0, [], None, (None, None)
+        start, roots, note = 0, [], None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if not r["after"]:
                     note = r
                     continue
-                mine = note if note and note["uid"] == r["uid"] else {"foreign": [], "lent": []}
-                foreign, lent = set(mine["foreign"]), set(mine["lent"])
-                payload = r["payload"]
-                if foreign:
-                    whole, ends = unpack(payload), np.cumsum(r["lens"])
-                    own = [whole[e - n : e] for k, (n, e) in enumerate(zip(r["lens"], ends, strict=True)) if k not in foreign]
-                    payload = pack(np.concatenate(own)) if own else pack(whole[:0])
-                root = merkle(r["keys"])
+                mine = note if note and note["uid"] == r["uid"] else {"foreign": (), "lent": ()}
+                lens = np.frombuffer(r["lens"], dtype="<u4")
+                marks, payload = np.full(len(lens), OWNED, dtype=np.uint8), r["payload"]
+                marks[list(mine["foreign"])] = 0
+                marks[list(mine["lent"])] |= LENT
+                if len(mine["foreign"]):
+                    payload = pack(unpack(payload)[np.repeat(marks > 0, lens)])
+                root = merkle(leaves(r["keys"]))
                 roots.append(root)
-                k = range(len(r["keys"]))
-                out.append({"uid": r["uid"], "doc_id": r["doc_id"], "kind": "document", "shard": shard, "start": start, "n_tokens": r["n_tokens"], "keys": r["keys"], "lens": r["lens"], "owned": [i not in foreign for i in k], "lent": [i in lent for i in k], "root": root, "payload": payload})
+                out.append({"uid": r["uid"], "doc_id": r["doc_id"], "kind": "document", "shard": shard, "start": start, "n_tokens": r["n_tokens"], "keys": r["keys"], "lens": r["lens"], "marks": marks.tobytes(), "borrows": bool(len(mine["foreign"])), "lends": bool(len(mine["lent"])), "root": root, "payload": payload})
                 start += r["n_tokens"]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if roots:
@@ -219,44 +245,52 @@ def read(store: DataFrame) -> DataFrame:
         for batch in batches:
             keys, chunks = [], []
             for r in batch.to_pylist():
-                ids, at = unpack(r["payload"]), 0
-                for key, n, owned, lent in zip(r["keys"], r["lens"], r["owned"], r["lent"], strict=True):
-                    if lent:
-                        keys.append(key)
-                        chunks.append(ids[at : at + n].tobytes())
-                    at += n if owned else 0
+                lens, marks = np.frombuffer(r["lens"], dtype="<u4"), np.frombuffer(r["marks"], dtype=np.uint8)
+                raw, ends = unpack(r["payload"]).tobytes(), np.cumsum(lens * (marks > 0))
+                for k in np.flatnonzero(marks & LENT):
+                    keys.append(r["keys"][KEY * k : KEY * (k + 1)])
+                    chunks.append(raw[4 * (ends[k] - lens[k]) : 4 * ends[k]])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(chunks, pa.binary())], names=["key", "chunk"])
 
     def rebuild(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                ids, at = unpack(r["payload"]), 0
+                lens, marks = np.frombuffer(r["lens"], dtype="<u4"), np.frombuffer(r["marks"], dtype=np.uint8)
+                raw = unpack(r["payload"]).tobytes()
+                ends = np.cumsum(lens * (marks > 0), dtype=np.int64)
                 parts = {p["pos"]: p["chunk"] for p in r["parts"] or ()}
-                chunks = []
-                for k, (n, owned) in enumerate(zip(r["lens"], r["owned"], strict=True)):
-                    chunks.append(ids[at : at + n].tobytes() if owned else parts[k])
-                    at += n if owned else 0
-                if [digest(c) for c in chunks] != r["keys"] or merkle(r["keys"]) != r["root"]:
+                chunks = [raw[4 * (e - n) : 4 * e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
+                if b"".join(map(digest, chunks)) != r["keys"] or merkle(leaves(r["keys"])) != r["root"]:
                     raise ValueError(f"document {r['doc_id']} differs from its recipe")
                 out.append(b"".join(chunks))
             kept = ["uid", "doc_id", "shard", "start", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], names=[*kept, "ids"])
 
-    columns = ["uid", "doc_id", "shard", "start", "n_tokens", "keys", "lens", "owned", "root", "payload"]
+    columns = ["uid", "doc_id", "shard", "start", "n_tokens", "keys", "lens", "marks", "root", "payload"]
     result = "uid long, doc_id long, shard int, start long, n_tokens long, ids binary"
-    borrows = F.exists("owned", lambda x: ~x)
-    chunks = documents.where(F.exists("lent", lambda x: x)).select("keys", "lens", "owned", "lent", "payload").mapInArrow(lend, "key binary, chunk binary")
-    wanted = documents.where(borrows).select("uid", F.posexplode(F.arrays_zip("keys", "owned")).alias("pos", "x")).where(~F.col("x.owned")).select("uid", "pos", F.col("x.keys").alias("key"))
+    chunks = documents.where("lends").select("keys", "lens", "marks", "payload").mapInArrow(lend, "key binary, chunk binary")
+    wanted = documents.where("borrows").select("uid", "marks", *exploded_keys()).where(F.substring("marks", F.col("pos") + 1, F.lit(1)) == F.lit(b"\0")).select("uid", "pos", "key")
     parts = wanted.join(chunks, "key").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("parts"))
     parts_type = parts.schema["parts"].dataType
-    alone = documents.where(~borrows).select(*columns, F.lit(None).cast(parts_type).alias("parts")).mapInArrow(rebuild, result)
-    shared = documents.where(borrows).select(*columns).join(parts, "uid").mapInArrow(rebuild, result)
+    alone = documents.where("not borrows").select(*columns, F.lit(None).cast(parts_type).alias("parts")).mapInArrow(rebuild, result)
+    shared = documents.where("borrows").select(*columns).join(parts, "uid").mapInArrow(rebuild, result)
     return alone.unionByName(shared).join(F.broadcast(base), "shard").select("uid", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
+def exploded_keys() -> list:
+    """pos and key of each chunk in the column keys."""
+    at = F.explode(F.sequence(F.lit(0), (F.octet_length("keys") / KEY).cast("int") - 1)).alias("pos")
+    return [at, F.substring("keys", F.col("pos") * KEY + 1, F.lit(KEY)).alias("key")]
+
+
+def leaves(keys: bytes) -> list[bytes]:
+    return [keys[i : i + KEY] for i in range(0, len(keys), KEY)]
+
+
 def digests(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the store."""
     back = read(write(docs, tokens, end_id))
