@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, ppm_language, token_store
+from . import bpe_codec, ppm_language, substring_dedup, suffix_dedup, token_store
 from .jaccard_join import jaccard_groups
 from .quality_rules import quality_rules
 from .source_mix import source_mix
@@ -52,6 +52,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), codec)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), window=35)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), window=50)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -67,7 +75,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_exact_topk, op4_source_mix, op5_byte_bpe, op8_url_filter, op9_token_store, op10_ppm_language)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_exact_topk, op4_source_mix, op5_byte_bpe, op6_substring_dedup, op7_suffix_dedup, op8_url_filter, op9_token_store, op10_ppm_language)}
 
 
 def oracle_sql() -> dict[str, str]:
