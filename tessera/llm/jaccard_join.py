@@ -228,3 +228,13 @@ def grown(links: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: i
     new = verified(pairs, sets, percent)
     links = new if links is None else links.unionByName(new)
     return links, components(links)
+
+
+def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs' columns: of each group the row with the smallest doc_id, of equal rows one.  Rows without words stay."""
+    groups = save(jaccard_groups(docs, size, percent))
+    later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("later")).distinct()
+    others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    rest = docs.select("doc_id", "text", others.alias("row")).join(later, F.col("doc_id") == F.col("later"), "left_anti")
+    rest = rest.groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    return rest.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in docs.columns])

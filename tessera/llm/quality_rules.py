@@ -28,9 +28,9 @@ def window_hashes(parts: Column, n_words: Column, window: int = WINDOW) -> Colum
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the base measures; ``text`` is never null."""
-    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
-    x = x.select("doc_id", "text", "w", F.size("w").alias("n"))
+    """row (docs' columns), text and the base measures; ``text`` is never null."""
+    x = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
+    x = x.select("row", "text", "w", F.size("w").alias("n"))
     x = x.withColumn("h", window_hashes(F.col("w"), F.col("n")))
     x = x.withColumn("twice", F.size(F.array_distinct("h")) < F.size("h"))
     pairs = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -61,7 +61,7 @@ def base(docs: DataFrame) -> DataFrame:
     )
     # A filter on the measures must not be pushed below them: substituted into it, the word array would be
     # split again for each window.  Nothing is pushed through a generator.
-    x = x.select("doc_id", "text", F.explode(F.array(measures)).alias("m")).select("doc_id", "text", "m.*")
+    x = x.select("row", "text", F.explode(F.array(measures)).alias("m")).select("row", "text", "m.*")
     return x.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -98,11 +98,21 @@ def ordered(measured: DataFrame, checks: dict[str, Column]) -> list[str]:
     return sorted(checks, key=lambda name: (-gain[name], name))
 
 
-def quality_rules(docs: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
-    """Base measures, base_failed and kept for every document."""
+def judged(docs: DataFrame, checks: dict[str, Column] | None) -> DataFrame:
     checks = rules() if checks is None else checks
     measured = base(docs)
     rejected = F.when(F.col("base_failed"), F.lit(True))
     for name in ordered(measured, checks):
         rejected = rejected.when(checks[name], F.lit(True))
-    return measured.withColumn("kept", ~rejected.otherwise(F.lit(False))).drop("text")
+    return measured.withColumn("kept", ~rejected.otherwise(F.lit(False)))
+
+
+def quality_rules(docs: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, base measures, base_failed and kept for every document."""
+    out = judged(docs.select("doc_id", "text"), checks)
+    return out.select("row.doc_id", *[c for c in out.columns if c not in ("row", "text")])
+
+
+def kept_documents(docs: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of docs that are kept."""
+    return judged(docs, checks).where("kept").select("row.*")

@@ -20,10 +20,10 @@ ID = ["oid", "tid"]
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), text (never null), oid (doc_id, nulls first of all) and tid (from the text's digest)."""
+    """row (all columns of docs but the text), text (never null), oid (doc_id, nulls first of all) and tid (from the text's digest)."""
     text = F.coalesce("text", F.lit(""))
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(F.struct("*").alias("row"), text.alias("text"), oid.alias("oid"), F.xxhash64(F.sha2(text, 256)).alias("tid"), F.sha2(text, 256).alias("sha"))
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), oid.alias("oid"), F.xxhash64(F.sha2(text, 256)).alias("tid"), F.sha2(text, 256).alias("sha"))
 
 
 def copies(x: DataFrame) -> DataFrame:

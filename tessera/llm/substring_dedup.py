@@ -75,7 +75,7 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """row (docs' columns), n_words, n_removed, spans (maximal repeats in words) and kept (the kept words, joined by a space)."""
+    """row (docs' columns but the text), n_words, n_removed, spans (maximal repeats in words) and kept (the kept words, joined by a space)."""
     x = identified(docs)
     copied = copies(x)
     ranges = repeated_ranges(representatives(x, copied), window)

@@ -247,8 +247,11 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(sorted_blocks, "oid long, tid long, start int, end int")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """row (docs' columns), n_bytes, n_removed, spans (removed runs in bytes) and kept (the kept bytes)."""
+def remove_repeats(docs: DataFrame, window: int = 50, as_text: bool = False) -> DataFrame:
+    """row (docs' columns but the text), n_bytes, n_removed, spans (removed runs in bytes) and kept.
+
+    kept is bytes, or as_text a string, without characters of which a part was removed.
+    """
     x = identified(docs)
     copied = copies(x)
     ranges = repeated_ranges(representatives(x, copied), window)
@@ -266,9 +269,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             kept.append(raw[last:a])
             last = b
         kept = b"".join([*kept, raw[last:]])
-        return len(raw), len(raw) - len(kept), spans, kept
+        return len(raw), len(raw) - len(kept), spans, kept.decode(errors="ignore") if as_text else kept
 
-    return without(x, ranges, cut, "n_bytes long, n_removed long, spans array<array<bigint>>, kept binary")
+    return without(x, ranges, cut, f"n_bytes long, n_removed long, spans array<array<bigint>>, kept {'string' if as_text else 'binary'}")
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
