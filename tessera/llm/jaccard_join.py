@@ -24,6 +24,8 @@ from .rolling import blocks, mix, windows, word_hashes
 
 #: Counters of the frequency sketch (2**SKETCH_BITS of 4 bytes: what is broadcast), in blocks.
 SKETCH_BITS, SKETCH_BLOCK = 20, 4_096
+#: Ranges of hashes (2**SPREAD_BITS) in which a set's shingles are counted.
+SPREAD_BITS = 7
 
 
 def shingle_sets(texts: list[str | None], size: int):
@@ -137,6 +139,12 @@ def allowed(percent: int) -> Column:
     return long_enough & (F.least(n - F.col("a.place"), m - F.col("b.place")) >= least_common(percent, n, m))
 
 
+def spread_allows(percent: int) -> Column:
+    """Suffix filter without sets: how many shingles lie in each range of hashes bounds what is common in it."""
+    least = F.zip_with("a.spread", "b.spread", lambda x, y: F.least(x, y))
+    return F.aggregate(least, F.lit(0), lambda x, y: x + y) >= least_common(percent, F.col("a.n"), F.col("b.n"))
+
+
 def pair(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(f"{a}.key", f"{b}.key").alias("a"), F.greatest(f"{a}.key", f"{b}.key").alias("b")]
 
@@ -162,6 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = sets.select("key", "set")
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     return save(joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
 
@@ -175,21 +184,26 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     facts = rows.where(F.col("block").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key")
     index = prefixes(docs, sketch_of(rows), size, percent)
     by_token = Window.partitionBy("token")
-    shared = index.withColumn("low", F.min("key").over(by_token)).withColumn("high", F.max("key").over(by_token)).where("low <> high")
+    # Buckets of two classes and more; of those, rows whose nearest neighbour by size is near enough.
+    by_size = by_token.orderBy("n", "key")
+    shared = index.select("*", F.min("key").over(by_token).alias("low"), F.max("key").over(by_token).alias("high"), F.lag("n").over(by_size).alias("shorter"), F.lead("n").over(by_size).alias("longer")).where("low <> high")
+    shared = shared.where((100 * F.col("shorter") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("longer")))
     index = save(shared.select("token", "key", "n", "place").distinct())
 
     classes = save(facts.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first")))
     chosen = index.select("key").distinct().join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
 
     def sets_of(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text").to_pylist(), size))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
+            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size) if len(s)]
+            spreads = [np.bincount(s >> np.uint64(64 - SPREAD_BITS), minlength=1 << SPREAD_BITS) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(spreads, pa.list_(pa.int32()))], names=["key", "set", "spread"])
 
-    sets = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(sets_of, "key binary, set binary")
-    sets = save(sets.where(F.col("key").isNotNull()).dropDuplicates(["key"]))
+    sets = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(sets_of, "key binary, set binary, spread array<int>")
+    sets = save(sets)  # one for each class, but for repeated rows
 
     links, groups = None, None
     for order in ([F.col("n"), F.col("key")], [F.xxhash64("key", "token")]):
@@ -200,8 +214,9 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         near = near.select("a", F.explode(F.array("prev", "head")).alias("b")).where(F.col("b").isNotNull() & (F.col("a.group") != F.col("b.group")))
         pairs = near.where(allowed(percent)).select(*pair()).distinct()
         links, groups = grown(links, pairs, sets, percent)
-    left = save(open_buckets(index, groups))
-    both = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent))
+    left = open_buckets(index, groups).join(sets.select("key", "spread").dropDuplicates(["key"]), "key")
+    left = save(left)
+    both = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent) & spread_allows(percent))
     links, groups = grown(links, both.select(*pair()).distinct(), sets, percent)
 
     named = groups.withColumnRenamed("node", "key").join(classes, "key")
