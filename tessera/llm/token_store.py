@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from .common import save, small_batches, worker_cache
 
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
-ROLL, MEAN, MOST = 8, 256, 4_096
+ROLL, MEAN, MOST = 4, 256, 4_096
 
 KEY = 16
 #: keys and lens are packed: KEY bytes and a little-endian unsigned 32-bit number for each chunk; marks has a
@@ -44,7 +44,8 @@ class Tokens:
 
     The library itself encodes about 3 MB a second and core.  The same vocabulary run as ranks by tiktoken
     gives the same ids three times as fast, so it does the bulk; the library reads the file, encodes texts
-    that hold a special token's string, and encodes one text of every batch again: a difference is an error.
+    that hold a special token's string, and encodes one text of every batch (the shortest that isn't empty) again: a
+    difference is an error.
     """
 
     def __init__(self, json_file: str):
@@ -80,9 +81,9 @@ class Tokens:
 
         tokenizer, ranks, special = self.engines()
         exact = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = [exact(x) if special.search(x) else ranks.encode_to_numpy(x).astype("<u4").tobytes() for x in texts]
+        out = [exact(x) if special.search(x) else ranks.encode_to_numpy(x).tobytes() for x in texts]
         if texts:
-            k = len(out[0]) % len(texts)
+            k = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
             if out[k] != exact(texts[k]):
                 raise ValueError("the ranks do not encode as the tokenizers library does")
         return out
@@ -101,26 +102,32 @@ def byte_letters(alphabet: list[str]) -> list[str]:
     return letters
 
 
-def cuts(ids) -> list[int]:
-    """Ends of the chunks of an id array."""
+def cuts(streams: list) -> list[list[int]]:
+    """Ends of the chunks of each id array."""
     import numpy as np
 
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    every = np.concatenate(streams) if streams else np.zeros(0, np.uint32)
+    x = every.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
     rolled = x.copy()
     for k in range(1, ROLL):
-        rolled[k:] += x[:-k] << np.uint64(k) if len(x) > k else np.uint64(0)
-    at = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist()
-    ends, last = [], 0
-    for end in [*at, len(ids)]:
-        while end - last > MOST:
-            last += MOST
-            ends.append(last)
-        if end > last:
-            ends.append(end)
-            last = end
-    return ends
+        rolled[k:] += x[:-k] << np.uint64(5 * k)
+    offsets = np.cumsum([0, *map(len, streams)])
+    at = np.flatnonzero((rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+    first = np.searchsorted(at, offsets[:-1] + ROLL)  # the window lies in one stream
+    last = np.searchsorted(at, offsets[1:])
+    out = []
+    for begin, end, a, b in zip(offsets.tolist(), offsets[1:].tolist(), first.tolist(), last.tolist(), strict=False):
+        ends, done = [], 0
+        for cut in [*(at[a:b] - begin).tolist(), end - begin]:
+            while cut - done > MOST:
+                done += MOST
+                ends.append(done)
+            if cut > done:
+                ends.append(cut)
+                done = cut
+        out.append(ends)
+    return out
 
 
 def digest(chunk: bytes) -> bytes:
@@ -140,7 +147,7 @@ def pack(ids) -> bytes:
     import zstandard
 
     width = 2 if not len(ids) or int(ids.max()) < 65_536 else 4
-    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 3)
+    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 1)
 
 
 def unpack(payload: bytes):
@@ -162,10 +169,9 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             n, keys, lens, payloads = [], [], [], []
-            for raw in tokens.encode([x or "" for x in batch.column("text").to_pylist()]):
-                raw += end
-                ids = np.frombuffer(raw, dtype="<u4")
-                ends = cuts(ids)
+            raws = [raw + end for raw in tokens.encode([x or "" for x in batch.column("text").to_pylist()])]
+            streams = [np.frombuffer(raw, dtype="<u4") for raw in raws]
+            for raw, ids, ends in zip(raws, streams, cuts(streams), strict=True):
                 n.append(len(ids))
                 keys.append(b"".join([digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]))
                 lens.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
@@ -198,23 +204,27 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
         shard = TaskContext.get().partitionId()
         start, roots, note = 0, [], None
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if not r["after"]:
-                    note = r
+            out: list[list] = [[] for _ in schema]
+            read = zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "n_tokens", "keys", "lens", "payload", "after", "foreign", "lent")), strict=True)
+            for uid, doc_id, n_tokens, keys, packed, payload, after, foreign, lent in read:
+                if not after:
+                    note = uid, foreign, lent
                     continue
-                mine = note if note and note["uid"] == r["uid"] else {"foreign": (), "lent": ()}
-                lens = np.frombuffer(r["lens"], dtype="<u4")
-                marks, payload = np.full(len(lens), OWNED, dtype=np.uint8), r["payload"]
-                marks[list(mine["foreign"])] = 0
-                marks[list(mine["lent"])] |= LENT
-                if len(mine["foreign"]):
+                _, foreign, lent = note if note and note[0] == uid else (uid, (), ())
+                lens = np.frombuffer(packed, dtype="<u4")
+                marks = np.full(len(lens), OWNED, dtype=np.uint8)
+                if foreign or lent:
+                    marks[list(foreign)] = 0
+                    marks[list(lent)] |= LENT
+                if foreign:
                     payload = pack(unpack(payload)[np.repeat(marks > 0, lens)])
-                root = merkle(leaves(r["keys"]))
+                root = merkle(leaves(keys))
                 roots.append(root)
-                out.append({"uid": r["uid"], "doc_id": r["doc_id"], "kind": "document", "shard": shard, "start": start, "n_tokens": r["n_tokens"], "keys": r["keys"], "lens": r["lens"], "marks": marks.tobytes(), "borrows": bool(len(mine["foreign"])), "lends": bool(len(mine["lent"])), "root": root, "payload": payload})
-                start += r["n_tokens"]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                row = (uid, doc_id, "document", shard, start, n_tokens, keys, packed, marks.tobytes(), bool(foreign), bool(lent), root, payload)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                start += n_tokens
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
         if roots:
             yield pa.RecordBatch.from_pylist([{"kind": "manifest", "shard": shard, "start": len(roots), "n_tokens": start, "root": merkle(roots)}], schema=schema)
 
@@ -250,14 +260,15 @@ def read(store: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                lens, marks = np.frombuffer(r["lens"], dtype="<u4"), np.frombuffer(r["marks"], dtype=np.uint8)
-                raw = unpack(r["payload"]).tobytes()
+            read = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keys", "lens", "marks", "root", "payload", "parts")), strict=True)
+            for doc_id, keys, lens, marks, root, payload, parts in read:
+                lens, marks = np.frombuffer(lens, dtype="<u4"), np.frombuffer(marks, dtype=np.uint8)
+                raw = unpack(payload).tobytes()
                 ends = np.cumsum(lens * (marks > 0), dtype=np.int64)
-                parts = {p["pos"]: p["chunk"] for p in r["parts"] or ()}
+                parts = {p["pos"]: p["chunk"] for p in parts or ()}
                 chunks = [raw[4 * (e - n) : 4 * e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
-                if b"".join(map(digest, chunks)) != r["keys"] or merkle(leaves(r["keys"])) != r["root"]:
-                    raise ValueError(f"document {r['doc_id']} differs from its recipe")
+                if b"".join(map(digest, chunks)) != keys or merkle(leaves(keys)) != root:
+                    raise ValueError(f"document {doc_id} differs from its recipe")
                 out.append(b"".join(chunks))
             kept = ["uid", "doc_id", "shard", "start", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], names=[*kept, "ids"])
