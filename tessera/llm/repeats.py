@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import save, small_batches
 
@@ -43,15 +45,16 @@ def representatives(x: DataFrame, copied: DataFrame) -> DataFrame:
 def seeds(reps: DataFrame, anchors: Callable, across_documents: bool) -> DataFrame:
     """oid, seeds: the anchors of each document that recur (in another document, or anywhere).
 
-    anchors(batches) turns batches of oid, text into rows oid, anchor.
+    anchors(batches) turns batches of oid, text into rows oid, anchor, n: one for each anchor of a document,
+    and how often it has it.
     """
     small_batches(reps.sparkSession, 256)
-    rows = reps.select("oid", "text").mapInArrow(anchors, "oid long, anchor long")
+    rows = reps.select("oid", "text").mapInArrow(anchors, "oid long, anchor long, n int")
     same = Window.partitionBy("anchor")
     if across_documents:
         rows = rows.select("oid", "anchor", F.min("oid").over(same).alias("low"), F.max("oid").over(same).alias("high")).where("low <> high")
     else:
-        rows = rows.select("oid", "anchor", F.count("*").over(same).alias("n")).where("n > 1")
+        rows = rows.select("oid", "anchor", F.sum("n").over(same).alias("n")).where("n > 1")
     return save(rows.groupBy("oid").agg(F.collect_set("anchor").alias("seeds")))
 
 
@@ -66,6 +69,7 @@ def without(x: DataFrame, ranges: DataFrame, cut: Callable, columns: str) -> Dat
     names = [c.split()[0] for c in columns.split(",")]
     row_type = joined.schema["row"].dataType.simpleString()
     schema = f"row {row_type}, {columns}"
+    fields = list(to_arrow_schema(StructType.fromDDL(columns)))
 
     def run(batches):
         import numpy as np
@@ -79,7 +83,7 @@ def without(x: DataFrame, ranges: DataFrame, cut: Callable, columns: str) -> Dat
             at = ranges.offsets.to_numpy()
             for text, a, b in zip(batch.column("text").to_pylist(), at, at[1:], strict=False):
                 out.append(cut(text, np.stack([starts[a:b], ends[a:b]], axis=1)))
-            arrays = [pa.array(x) for x in zip(*out, strict=True)] if out else []
+            arrays = [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(fields), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=["row", *names])
 
     return joined.mapInArrow(run, schema)
@@ -97,3 +101,15 @@ def merged(ranges, length: int):
     inside = np.concatenate([[0], (np.cumsum(change)[:length] > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(inside))
     return edges.reshape(-1, 2)
+
+
+def anchor_rows(found: list[tuple]):
+    """A batch of oid, anchor, n from (oid, anchors of a document, with repeats)."""
+    import numpy as np
+    import pyarrow as pa
+
+    unique = [np.unique(x, return_counts=True) for _, x in found]
+    values = np.concatenate([x for x, _ in unique]) if found else np.zeros(0, np.uint64)
+    counts = np.concatenate([n for _, n in unique]) if found else np.zeros(0, np.int64)
+    owners = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for x, _ in unique])
+    return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["oid", "anchor", "n"])

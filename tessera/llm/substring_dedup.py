@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
-from .repeats import copies, identified, merged, representatives, seeds, without
+from .repeats import anchor_rows, copies, identified, merged, representatives, seeds, without
 from .rolling import blocks, long_windows, minimizers, mix, windows, word_hashes
 
 ANCHOR = 8
@@ -40,37 +40,40 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
 
     def anchors_of(batches):
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
-            ids, found = batch.column("oid").to_numpy(), []
-            for i, _, anchors, place in _anchored(batch.column("text").to_pylist(), window):
-                found.append((ids[i], anchors[np.unique(place)]))
-            values = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            owners = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for _, x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(values.view(np.int64))], names=["oid", "anchor"])
+            ids = batch.column("oid").to_numpy()
+            yield anchor_rows([(ids[i], anchors[np.unique(place)]) for i, _, anchors, place in _anchored(batch.column("text").to_pylist(), window)])
 
     def extended(batches):
         import numpy as np
         import pyarrow as pa
 
+        kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32]
         for batch in batches:
             ids, tids, known = batch.column("oid").to_numpy(), batch.column("tid").to_numpy(), batch.column("seeds")
-            out = [[], [], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             for i, own, anchors, place in _anchored(batch.column("text").to_pylist(), window):
                 near = np.flatnonzero(np.isin(anchors, known[i].values.to_numpy().view(np.uint64))[place])
-                out[0].append(long_windows(own, window)[near])
-                out[1].append(long_windows(mix(own, 9), window)[near])
-                out[2].append(np.full(len(near), ids[i], dtype=np.int64))
-                out[3].append(np.full(len(near), tids[i], dtype=np.int64))
-                out[4].append(near.astype(np.int32))
-            kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32]
+                h1, h2, n = long_windows(own, window)[near], long_windows(mix(own, 9), window)[near], np.ones(len(near), dtype=np.int32)
+                _, first, count = np.unique(h1, return_index=True, return_counts=True)
+                if len(first) < len(near):
+                    # A window that the document itself repeats stands for all its places once; the other
+                    # places, known to repeat, go under keys of their own.
+                    n[:] = 2
+                    n[first] = count
+                    other = np.ones(len(near), dtype=bool)
+                    other[first] = False
+                    h1[other], h2[other] = mix(near[other].astype(np.uint64), int(ids[i]) % 2**63), 0
+                row = h1, h2, np.full(len(near), ids[i]), np.full(len(near), tids[i]), near.astype(np.int32), n
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
             flat = [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in flat], names=["h1", "h2", "oid", "tid", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in flat], names=["h1", "h2", "oid", "tid", "start", "n"])
 
     found = seeds(reps, anchors_of, across_documents=False)
-    rows = reps.select("oid", "tid", "text").join(found, "oid").mapInArrow(extended, "h1 long, h2 long, oid long, tid long, start int")
-    again = rows.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2"))).where("n > 1")
+    rows = reps.select("oid", "tid", "text").join(found, "oid").mapInArrow(extended, "h1 long, h2 long, oid long, tid long, start int, n int")
+    again = rows.withColumn("n", F.sum("n").over(Window.partitionBy("h1", "h2"))).where("n > 1")
     return again.select("oid", "tid", "start", (F.col("start") + window).alias("end"))
 
 

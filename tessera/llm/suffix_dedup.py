@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .repeats import copies, identified, merged, representatives, seeds, without
+from .repeats import anchor_rows, copies, identified, merged, representatives, seeds, without
 from .rolling import blocks, long_windows, minimizers, mix
 
 ANCHOR = 20
@@ -177,15 +177,11 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
 
     def anchors_of(batches):
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
-            ids, found = batch.column("oid").to_numpy(), []
-            for i, hashes, place in _anchored([t.encode() for t in batch.column("text").to_pylist()], window):
-                found.append((ids[i], np.unique(hashes[place[np.append(True, place[1:] != place[:-1])]])))
-            values = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
-            owners = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for _, x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(values.view(np.int64))], names=["oid", "anchor"])
+            ids = batch.column("oid").to_numpy()
+            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            yield anchor_rows([(ids[i], hashes[place[np.append(True, place[1:] != place[:-1])]]) for i, hashes, place in _anchored(raw, window)])
 
     def contexts(batches):
         import numpy as np
