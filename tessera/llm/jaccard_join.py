@@ -26,6 +26,8 @@ from .rolling import blocks, mix, windows, word_hashes
 SKETCH_BITS, SKETCH_BLOCK = 20, 4_096
 #: Ranges of hashes (2**SPREAD_BITS) in which a set's shingles are counted.
 SPREAD_BITS = 7
+#: Lists of keys of up to this many rows are sent to all executors; longer ones are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def shingle_sets(texts: list[str | None], size: int):
@@ -139,10 +141,10 @@ def allowed(percent: int) -> Column:
     return long_enough & (F.least(n - F.col("a.place"), m - F.col("b.place")) >= least_common(percent, n, m))
 
 
-def spread_allows(percent: int) -> Column:
+def spread_allows(percent: int, a: str = "a", b: str = "b") -> Column:
     """Suffix filter without sets: how many shingles lie in each range of hashes bounds what is common in it."""
-    least = F.zip_with("a.spread", "b.spread", lambda x, y: F.least(x, y))
-    return F.aggregate(least, F.lit(0), lambda x, y: x + y) >= least_common(percent, F.col("a.n"), F.col("b.n"))
+    least = F.zip_with(f"{a}.spread", f"{b}.spread", lambda x, y: F.least(x, y))
+    return F.aggregate(least, F.lit(0), lambda x, y: x + y) >= least_common(percent, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
 def pair(a: str = "a", b: str = "b") -> list[Column]:
@@ -206,17 +208,24 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     sets = save(sets)  # one for each class, but for repeated rows
 
     links, groups = None, None
-    for order in ([F.col("n"), F.col("key")], [F.xxhash64("key", "token")]):
-        left = open_buckets(index, groups)
+    for order, steps in ([F.col("n"), F.col("key")], ()), ([F.xxhash64("key", "token")], (2, 3)):
+        index = save(open_buckets(index, groups))
         ordered = Window.partitionBy("token").orderBy(*order)
         me = F.struct("key", "n", "place", "group")
-        near = left.select(me.alias("a"), F.lag(me).over(ordered).alias("prev"), F.first(me).over(ordered).alias("head"))
-        near = near.select("a", F.explode(F.array("prev", "head")).alias("b")).where(F.col("b").isNotNull() & (F.col("a.group") != F.col("b.group")))
+        others = [F.lag(me).over(ordered), F.first(me).over(ordered), *(F.lag(me, k).over(ordered) for k in steps)]
+        near = index.select(me.alias("a"), *[x.alias(f"b{i}") for i, x in enumerate(others)])
+        near = near.select("a", F.explode(F.array(*[f"b{i}" for i in range(len(others))])).alias("b")).where(F.col("b").isNotNull() & (F.col("a.group") != F.col("b.group")))
         pairs = near.where(allowed(percent)).select(*pair()).distinct()
         links, groups = grown(links, pairs, sets, percent)
-    left = open_buckets(index, groups).join(sets.select("key", "spread").dropDuplicates(["key"]), "key")
-    left = save(left)
-    both = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent) & spread_allows(percent))
+    # A pair is made at the first token it shares: not where one of the three before is shared as well.
+    earlier = Window.partitionBy("key").orderBy("place")
+    index = save(open_buckets(index, groups))
+    left = index.withColumn("before", F.array_compact(F.array(*[F.lag("token", k).over(earlier) for k in (1, 2, 3)])))
+    left = save(left.join(sets.select("key", "spread").dropDuplicates(["key"]), "key"))
+    both = left.alias("a").join(
+        left.alias("b"),
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent) & ~F.arrays_overlap("a.before", "b.before") & spread_allows(percent),
+    )
     links, groups = grown(links, both.select(*pair()).distinct(), sets, percent)
 
     named = groups.withColumnRenamed("node", "key").join(classes, "key")
@@ -231,7 +240,7 @@ def open_buckets(index: DataFrame, groups: DataFrame | None) -> DataFrame:
     """The index with each class's group, without buckets that hold one group only."""
     if groups is None:
         return index.withColumn("group", F.col("key"))
-    x = index.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
+    x = index.drop("group").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
     by_token = Window.partitionBy("token")
     return x.withColumn("low", F.min("group").over(by_token)).withColumn("high", F.max("group").over(by_token)).where("low <> high").drop("low", "high")
 
@@ -240,7 +249,12 @@ def grown(links: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: i
     """The links with those of the pairs that hold and aren't known, and their components."""
     if links is not None:
         pairs = pairs.join(links, ["a", "b"], "left_anti")
-    new = verified(pairs, sets, percent)
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.struct(F.aggregate("spread", F.lit(0), lambda x, y: x + y).alias("n"), "spread").alias(f"of_{side}")).dropDuplicates([side]), side)
+    near = save(pairs.select("a", "b", F.col("of_a").alias("x"), F.col("of_b").alias("y")).where(spread_allows(percent, "x", "y")).select("a", "b"))
+    keys = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    new = verified(near, sets.join(keys, "key", "left_semi"), percent)
     links = new if links is None else links.unionByName(new)
     return links, components(links)
 
