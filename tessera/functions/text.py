@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: Spacing characters that are diacritics, besides combining marks.
@@ -71,6 +73,14 @@ def _latin() -> tuple[str, str]:
 LATIN = _latin()
 
 
+def bound(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f(v) with v evaluated once, however often f names it.
+
+    As plain expressions the steps below would multiply when the optimizer puts one into the next.
+    """
+    return F.element_at(F.transform(F.array(v), f), 1)
+
+
 def squeezed(v: Column) -> Column:
     return F.trim(F.regexp_replace(v, BLANK + "+", " "))
 
@@ -78,10 +88,10 @@ def squeezed(v: Column) -> Column:
 def clean(v: Column) -> Column:
     """Trim, collapse white space, drop diacritics; null-like values become empty."""
     plain = F.regexp_replace(F.translate(squeezed(v), *LATIN), MARKS, "")
-    return F.when(F.lower(plain).isin("null", "n/a") | plain.isNull(), F.lit("")).otherwise(plain)
+    return bound(plain, lambda p: F.when(F.lower(p).isin("null", "n/a") | p.isNull(), F.lit("")).otherwise(p))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_exact(values: pd.Series) -> pd.Series:
     """clean() with full canonical decomposition, for scripts beyond Latin."""
     blank, marks = re.compile(BLANK + "+"), set(SPACING_MARKS)
@@ -120,6 +130,10 @@ def sentences(v: Column) -> Column:
 
 def capitalization(v: Column) -> Column:
     """Capitals by the first rule that fits: capitals and numbers stay; names, titles and sentences are recased."""
+    return bound(v, _capitalization)
+
+
+def _capitalization(v: Column) -> Column:
     letter_words = v.rlike(r"^[a-zA-Z\s]+$") & v.contains(" ")
     camel = v.rlike(r"^[a-z]") & v.rlike("[A-Z]") & v.rlike(r"^[a-zA-Z0-9_]+$")
     head = F.regexp_extract(v, r"(?s)^([^:\-=]*)(.*)$", 1)
@@ -144,7 +158,7 @@ def spelling_chain(v: Column) -> Column:
     return v
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spelled(values: pd.Series) -> pd.Series:
     pattern = re.compile("|".join(SPELLING), re.IGNORECASE)
 
@@ -165,6 +179,10 @@ def spelling(v: Column) -> Column:
 
 def date(v: Column, as_of_year: int) -> Column:
     """YYYY-MM-DD for day-first, year-first and a few known month-first dates; else unchanged."""
+    return bound(v, lambda x: _date(x, as_of_year))
+
+
+def _date(v: Column, as_of_year: int) -> Column:
     first = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
     number = lambda pattern, k: F.regexp_extract(v, pattern, k).try_cast("int")
     day, month, year = number(first, 1), number(first, 2), number(first, 3)
@@ -199,19 +217,17 @@ def _plain_number(v: Column) -> Column:
 
 def number(v: Column) -> Column:
     """A number with a dot for the decimals and no other separators; else unchanged."""
+    return bound(v, _number)
+
+
+def _number(v: Column) -> Column:
     exponent = r"^([+-]?[\d.,\s]+)([eE][+-]?\d+)$"
     return F.when(v.rlike(exponent), F.concat(_plain_number(F.regexp_extract(v, exponent, 1)), F.regexp_extract(v, exponent, 2))).otherwise(_plain_number(v))
 
 
-def corrected(df: DataFrame, column: str, as_of_year: int) -> DataFrame:
-    """df with the column's capitals, spelling, date and number standardised, in this order.
-
-    A step at a time: each names its input many times, so as one expression they would multiply.
-    """
-    df = df.withColumn(column, capitalization(F.col(column)))
-    df = df.withColumn(column, spelling(F.col(column)))
-    df = df.withColumn(column, date(F.col(column), as_of_year))
-    return df.withColumn(column, number(F.col(column)))
+def correct(v: Column, as_of_year: int) -> Column:
+    """Capitals, spelling, date and number standardised, in this order."""
+    return number(date(spelling(capitalization(v)), as_of_year))
 
 
 def last_part(uri: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.similarity import search_confidence
 from ..sources.kb import KnowledgeBase
+from ..sources.scratch import stored
 
 #: Scores that are equal but for rounding must tie.
 DIGITS = 12
-DBPEDIA_FIRST = F.when(F.col("source") == "DBpedia", 0).otherwise(1)
+DBPEDIA_FIRST = "case when source = 'DBpedia' then 0 else 1 end"
 
 
 def searchable(cells: DataFrame, config: Config) -> DataFrame:
@@ -24,7 +25,7 @@ def lookup(values: DataFrame, kb: KnowledgeBase, config: Config) -> DataFrame:
     """Search hits of distinct values: value, source, uri, label, raw (confidence), place (DBpedia's hits first)."""
     hits = values.select("value").distinct().join(kb.search, F.col("value") == F.col("query"))
     raw = search_confidence(F.col("value"), F.col("label"), F.col("pos"), F.col("n_results"), config.similarity_weight, config.position_weight)
-    place = F.row_number().over(Window.partitionBy("value").orderBy(DBPEDIA_FIRST, "pos", "uri"))
+    place = F.row_number().over(Window.partitionBy("value").orderBy(F.expr(DBPEDIA_FIRST), "pos", "uri"))
     return hits.select("value", "source", "uri", "label", F.round(raw, DIGITS).alias("raw"), place.alias("place"))
 
 
@@ -85,6 +86,7 @@ def search_entities(cells: DataFrame, kb: KnowledgeBase, config: Config) -> Data
     """
     kb = kb.for_config(config)
     cells = searchable(cells, config)
-    hits = ranked(dedupe(lookup(cells, kb, config)), config)
+    # Five branches read the hits; stored, they are looked up once and the plan stays small.
+    hits = stored(ranked(dedupe(lookup(cells, kb, config)), config))
     typed = typed_candidates(hits, kb, config).select("value", "rank", "source", "uri", "label", "confidence", F.col("confidence").alias("score"), "types")
     return cells.select("table_id", "col_idx", "row_idx", "header", "value").join(typed, "value").select("table_id", "col_idx", "row_idx", "rank", "header", "value", "source", "uri", "label", "confidence", "score", "types")

@@ -12,6 +12,7 @@ from ..functions import seeds, text
 from ..operators import column_types, mapping, relations, search, selection, uri
 from ..sources import tables
 from ..sources.kb import KnowledgeBase
+from ..sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -27,24 +28,30 @@ def prepared(cells: DataFrame, config: Config, sampled: bool) -> DataFrame:
         cells = tables.sample_rows(cells, config.sample_size)
     if not config.correct:
         return cells
-    corrected = text.corrected(cells.select("value").distinct().withColumn("correct", F.col("value")), "correct", config.as_of_year)
-    return cells.join(corrected, "value").withColumn("value", F.col("correct")).drop("correct").where("value <> ''")
+    corrected = cells.select("value").distinct().withColumn("correct", text.correct(F.col("value"), config.as_of_year))
+    corrected = corrected.where("correct <> ''")
+    return stored(cells.join(corrected, "value").withColumn("value", F.col("correct")).drop("correct"))
 
 
 def run_cta(cells: DataFrame, kb: KnowledgeBase, config: Config | None = None) -> ColumnTypes:
-    """Types of columns.  candidates is used by several branches: persist() it if they are all asked for."""
+    """Types of columns.
+
+    What several branches read (cells, candidates, leading types) is written to the shared checkpoint
+    folder once; without that the plan would hold each branch's copy of all before it.
+    """
     config = config or Config()
     spark = cells.sparkSession
     equivalents = seeds.type_mapping(spark)
-    found = search.search_entities(prepared(cells, config, sampled=True), kb, config)
-    candidates = mapping.enhance(found, equivalents)
+    found = stored(search.search_entities(prepared(cells, config, sampled=True), kb, config))
+    candidates = stored(mapping.enhance(found, equivalents))
     related = None
     if config.use_column_relations:
         related = relations.top_relations(relations.column_relations(candidates, seeds.type_relations(spark), config), config)
     if config.use_uri_analysis:
-        candidates = uri.boost_by_uri(candidates, config)
+        candidates = stored(uri.boost_by_uri(candidates, config))
     votes = column_types.type_votes(candidates, kb.for_config(config).parents, config)
-    types = column_types.prefer_wikidata(column_types.leading_types(votes, config), equivalents, config)
+    leading = stored(column_types.leading_types(votes, config))
+    types = column_types.prefer_wikidata(leading, equivalents, config)
     if config.apply_relation_boost and related is not None:
         types = column_types.relation_boost(types, related, seeds.type_relations(spark), config)
     if config.confidence_threshold is not None:

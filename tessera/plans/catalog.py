@@ -160,7 +160,7 @@ def number_format(spark, sf_dir):
 
 @query()
 def correct_values(spark, sf_dir):
-    return text.corrected(read(spark, sf_dir, "part").select("p_partkey", F.expr(MISSPELT).alias("corrected")), "corrected", 2024)
+    return read(spark, sf_dir, "part").select("p_partkey", text.correct(F.expr(MISSPELT), 2024).alias("corrected"))
 
 
 # Tables
