@@ -22,11 +22,13 @@ import pickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import save, small_batches, worker_cache
 
 ORDER = 3
 TRAIN_ROWS, TRAIN_BYTES = 400, 1_000_000
 UNKNOWN = "und"
+#: Language tables of up to this many rows are sent to all executors; larger ones are joined by shuffle.
+BROADCAST_LANGS = 10_000
 SLOT_BITS = 20
 BLOCK = 1 << 20
 
@@ -136,7 +138,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int =
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "order")
     ranked = lambda x: x.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= train_rows)
     # The sample's last hash is found without texts; then only the sample's texts are moved.
-    last = ranked(labelled.select("lang", "order")).groupBy("lang").agg(F.max("order").alias("last"))
+    last = save(ranked(labelled.select("lang", "order")).groupBy("lang").agg(F.max("order").alias("last")))
+    last = F.broadcast(last) if last.count() <= BROADCAST_LANGS else last
     sample = ranked(labelled.join(last, "lang").where(F.col("order") <= F.col("last")).drop("last"))
 
     def learn(rows):
