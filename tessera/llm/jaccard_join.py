@@ -193,7 +193,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     index = save(shared.select("token", "key", "n", "place").distinct())
 
     classes = save(facts.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first")))
-    chosen = index.select("key").distinct().join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
+    chosen = save(index.select("key").distinct().join(classes, "key").select(F.col("first").alias("doc_id")).distinct())
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
 
     def sets_of(batches):
         import numpy as np
