@@ -76,7 +76,10 @@ def thresholds(sized: DataFrame, weights: list[float], cap: float = 3.0) -> Data
             nearer = F.col("edge.sum") - F.col("edge.rest") < F.col("edge.rest") - before
             low, rest = F.col("edge.bucket") + nearer.cast("long"), F.lit(0.0)
         none = F.col("edge").isNull()  # all of it fits
-        state = save(first.select(*keys, F.when(none, F.shiftleft(F.col("last") + 1, shift)).otherwise(low).alias("low"), F.when(none, F.lit(0.0)).otherwise(rest).alias("rest")))
+        found = save(first.select(*keys, F.when(none, F.shiftleft(F.col("last") + 1, shift)).otherwise(low).alias("low"), F.when(none, F.lit(0.0)).otherwise(rest).alias("rest")))
+        # Sources that have no document at their threshold any more keep it.
+        settled = state.join(found.select(F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of")), "left_anti")
+        state = save(found.unionByName(settled))
     return state.select(*keys, F.col("low").alias("below"))
 
 
