@@ -17,6 +17,7 @@ Null or empty text is the end id alone.  Repeated rows share all chunks; an empt
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import save, small_batches, worker_cache
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
 ROLL, MEAN, MOST = 4, 256, 4_096
 
-KEY = 16
+KEY, FAN = 16, 16
 #: keys and lens are packed: KEY bytes and a little-endian unsigned 32-bit number for each chunk; marks has a
 #: byte for each chunk, OWNED if the payload holds it, plus LENT if another place refers to it.
 ROW = "uid long, doc_id long, kind string, shard int, start long, n_tokens long, keys binary, lens binary, marks binary, borrows boolean, lends boolean, root binary, payload binary"
@@ -61,7 +62,6 @@ class Tokens:
         cache = worker_cache()
         if self.name not in cache:
             import os
-            import re
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             import tiktoken
@@ -71,8 +71,7 @@ class Tokens:
             added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
             byte_of = {c: b for b, c in enumerate(byte_letters(pre_tokenizers.ByteLevel.alphabet()))}
             ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
-            special = re.compile("|".join(map(re.escape, sorted(added)))) if added else re.compile(r"(?!)")
-            cache[self.name] = tokenizer, tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), special
+            cache[self.name] = tokenizer, tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), sorted(added)
         return cache[self.name]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +80,7 @@ class Tokens:
 
         tokenizer, ranks, special = self.engines()
         exact = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = [exact(x) if special.search(x) else ranks.encode_to_numpy(x).tobytes() for x in texts]
+        out = [exact(x) if any(s in x for s in special) else ranks.encode_to_numpy(x).tobytes() for x in texts]
         if texts:
             k = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
             if out[k] != exact(texts[k]):
@@ -135,26 +134,32 @@ def digest(chunk: bytes) -> bytes:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root over digests; an odd one is carried up."""
+    """Root over digests, FAN to a node."""
     level = list(leaves) or [b""]
-    while len(level) > 1:
-        level = [digest(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return digest(b"root" + level[0])
+    while len(level) > FAN:
+        level = [digest(b"".join(level[i : i + FAN])) for i in range(0, len(level), FAN)]
+    return digest(b"root" + b"".join(level))
 
 
-def pack(ids) -> bytes:
-    import numpy as np
-    import zstandard
+def _zstd() -> tuple:
+    """The worker's compressor and decompressor."""
+    cache = worker_cache()
+    if "zstd" not in cache:
+        import zstandard
+
+        cache["zstd"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return cache["zstd"]
+
 
+def pack(ids) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 65_536 else 4
-    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(payload: bytes):
     import numpy as np
-    import zstandard
 
-    return np.frombuffer(zstandard.decompress(payload[1:]), dtype=f"<u{payload[0]}").astype("<u4")
+    return np.frombuffer(_zstd()[1].decompress(payload[1:]), dtype=f"<u{payload[0]}").astype("<u4")
 
 
 def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
@@ -231,9 +236,13 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     return save(rows.mapInArrow(shards, ROW))
 
 
-def read(store: DataFrame) -> DataFrame:
-    """uid, doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit, as bytes) of every document, verified."""
+def read(store: DataFrame, checksums: bool = False) -> DataFrame:
+    """uid, doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit, as bytes) of every document, verified.
+
+    checksums: in place of ids their unsigned CRC-32, ``ids_crc32``.
+    """
     small_batches(store.sparkSession, 256)
+    name = "ids_crc32" if checksums else "ids"
     documents = store.where("kind = 'document'")
     manifests = store.where("kind = 'manifest'").select("shard", F.col("n_tokens").alias("in_shard"))
     # One row for each file of the store.
@@ -269,19 +278,19 @@ def read(store: DataFrame) -> DataFrame:
                 chunks = [raw[4 * (e - n) : 4 * e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
                 if b"".join(map(digest, chunks)) != keys or merkle(leaves(keys)) != root:
                     raise ValueError(f"document {doc_id} differs from its recipe")
-                out.append(b"".join(chunks))
+                out.append(zlib.crc32(b"".join(chunks)) if checksums else b"".join(chunks))
             kept = ["uid", "doc_id", "shard", "start", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], names=[*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.int64() if checksums else pa.binary())], names=[*kept, name])
 
     columns = ["uid", "doc_id", "shard", "start", "n_tokens", "keys", "lens", "marks", "root", "payload"]
-    result = "uid long, doc_id long, shard int, start long, n_tokens long, ids binary"
+    result = f"uid long, doc_id long, shard int, start long, n_tokens long, {name} {'long' if checksums else 'binary'}"
     chunks = documents.where("lends").select("keys", "lens", "marks", "payload").mapInArrow(lend, "key binary, chunk binary")
     wanted = documents.where("borrows").select("uid", "marks", *exploded_keys()).where(F.substring("marks", F.col("pos") + 1, F.lit(1)) == F.lit(b"\0")).select("uid", "pos", "key")
     parts = wanted.join(chunks, "key").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("parts"))
     parts_type = parts.schema["parts"].dataType
     alone = documents.where("not borrows").select(*columns, F.lit(None).cast(parts_type).alias("parts")).mapInArrow(rebuild, result)
     shared = documents.where("borrows").select(*columns).join(parts, "uid").mapInArrow(rebuild, result)
-    return alone.unionByName(shared).join(F.broadcast(base), "shard").select("uid", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    return alone.unionByName(shared).join(F.broadcast(base), "shard").select("uid", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", name)
 
 
 def exploded_keys() -> list:
@@ -296,8 +305,7 @@ def leaves(keys: bytes) -> list[bytes]:
 
 def digests(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the store."""
-    back = read(write(docs, tokens, end_id))
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(write(docs, tokens, end_id), checksums=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def broken_shards(store: DataFrame) -> DataFrame:
