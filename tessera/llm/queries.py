@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, ppm_language, substring_dedup, suffix_dedup, token_store
+from . import bpe_codec, oracles, ppm_language, substring_dedup, suffix_dedup, token_store
 from .jaccard_join import jaccard_groups
 from .quality_rules import quality_rules
 from .source_mix import source_mix
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard_join": oracles.op1(4, 85), "op2_quality_rules": oracles.OP2, "op3_exact_topk": oracles.OP3, "op6_substring_dedup": oracles.op6(35), "op7_suffix_dedup": oracles.op7(50)}
