@@ -8,7 +8,8 @@ the Merkle root of its documents.  Reading rebuilds every stream from the recipe
 or a root differs.
 
 Layout of a shard: rows in ascending doc_id (nulls first, ties in a fixed order), each with the chunks
-it owns, one byte for the width of an id (2 or 4) and a zstd frame of little-endian unsigned ids; the
+it owns, one byte for the width of an id (2 or 4) and a zstd frame of little-endian unsigned ids (an empty document of
+owned chunks has an empty frame); the
 last row of a shard is its manifest.
 
 Null or empty text is the end id alone.  Repeated rows share all chunks; an empty table is an empty store.
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 from .common import save, small_batches, worker_cache
 
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
-ROLL, MEAN, MOST = 4, 256, 4_096
+ROLL, MEAN, MOST = 4, 1_024, 8_192
 
 KEY, FAN = 16, 16
 #: keys and lens are packed: KEY bytes and a little-endian unsigned 32-bit number for each chunk; marks has a
@@ -129,7 +130,13 @@ def cuts(streams: list) -> list[list[int]]:
     return out
 
 
-def digest(chunk: bytes) -> bytes:
+def narrowed(ids):
+    """Ids in two bytes each if they fit, else in four."""
+    return ids.astype("<u2" if not len(ids) or int(ids.max()) < 65_536 else "<u4")
+
+
+def digest(chunk) -> bytes:
+    """Of bytes, or of the bytes of a narrowed id array."""
     return hashlib.sha256(chunk).digest()[:KEY]
 
 
@@ -151,15 +158,14 @@ def _zstd() -> tuple:
     return cache["zstd"]
 
 
-def pack(ids) -> bytes:
-    width = 2 if not len(ids) or int(ids.max()) < 65_536 else 4
-    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}").tobytes())
+def pack(narrow) -> bytes:
+    return bytes([narrow.itemsize]) + _zstd()[0].compress(narrow)
 
 
 def unpack(payload: bytes):
     import numpy as np
 
-    return np.frombuffer(_zstd()[1].decompress(payload[1:]), dtype=f"<u{payload[0]}").astype("<u4")
+    return np.frombuffer(_zstd()[1].decompress(payload[1:]), dtype=f"<u{payload[0]}")
 
 
 def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
@@ -176,11 +182,12 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
             n, keys, lens, payloads = [], [], [], []
             raws = [raw + end for raw in tokens.encode([x or "" for x in batch.column("text").to_pylist()])]
             streams = [np.frombuffer(raw, dtype="<u4") for raw in raws]
-            for raw, ids, ends in zip(raws, streams, cuts(streams), strict=True):
+            for ids, ends in zip(streams, cuts(streams), strict=True):
+                narrow = narrowed(ids)
+                keys.append(b"".join([digest(narrow[a:b]) for a, b in zip([0, *ends], ends, strict=False)]))
                 n.append(len(ids))
-                keys.append(b"".join([digest(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]))
                 lens.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
-                payloads.append(pack(ids))
+                payloads.append(pack(narrow))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(lens, pa.binary()), pa.array(payloads, pa.binary())],
                 names=["uid", "doc_id", "n_tokens", "keys", "lens", "payload"],
@@ -257,10 +264,10 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
             keys, chunks = [], []
             for r in batch.to_pylist():
                 lens, marks = np.frombuffer(r["lens"], dtype="<u4"), np.frombuffer(r["marks"], dtype=np.uint8)
-                raw, ends = unpack(r["payload"]).tobytes(), np.cumsum(lens * (marks > 0))
+                ids, ends = unpack(r["payload"]), np.cumsum(lens * (marks > 0))
                 for k in np.flatnonzero(marks & LENT):
                     keys.append(r["keys"][KEY * k : KEY * (k + 1)])
-                    chunks.append(raw[4 * (ends[k] - lens[k]) : 4 * ends[k]])
+                    chunks.append(bytes([ids.itemsize]) + ids[ends[k] - lens[k] : ends[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(chunks, pa.binary())], names=["key", "chunk"])
 
     def rebuild(batches):
@@ -272,13 +279,14 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
             read = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keys", "lens", "marks", "root", "payload", "parts")), strict=True)
             for doc_id, keys, lens, marks, root, payload, parts in read:
                 lens, marks = np.frombuffer(lens, dtype="<u4"), np.frombuffer(marks, dtype=np.uint8)
-                raw = unpack(payload).tobytes()
+                ids = unpack(payload)
                 ends = np.cumsum(lens * (marks > 0), dtype=np.int64)
-                parts = {p["pos"]: p["chunk"] for p in parts or ()}
-                chunks = [raw[4 * (e - n) : 4 * e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
+                parts = {p["pos"]: np.frombuffer(p["chunk"][1:], dtype=f"<u{p['chunk'][0]}") for p in parts or ()}
+                chunks = [ids[e - n : e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
                 if b"".join(map(digest, chunks)) != keys or merkle(leaves(keys)) != root:
                     raise ValueError(f"document {doc_id} differs from its recipe")
-                out.append(zlib.crc32(b"".join(chunks)) if checksums else b"".join(chunks))
+                raw = np.concatenate(chunks).astype("<u4").tobytes()
+                out.append(zlib.crc32(raw) if checksums else raw)
             kept = ["uid", "doc_id", "shard", "start", "n_tokens"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.int64() if checksums else pa.binary())], names=[*kept, name])
 
