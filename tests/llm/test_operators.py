@@ -311,7 +311,7 @@ def test_token_store(spark, docs, rows, empty):
 
 
 def token_store_payload():
-    return F.lit(token_store.pack(np.zeros(100_000, dtype=np.uint32)))
+    return F.lit(token_store.pack(np.zeros(100_000, dtype=np.uint16)))
 
 
 def test_cuts():
