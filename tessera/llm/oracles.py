@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -29,11 +29,11 @@ covered as (select doc_id, count(distinct i + k) as n from again cross join rang
 m as (
   select w.doc_id, len(w.w)::bigint as n_words, length(array_to_string(w.w, ''))::bigint as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     coalesce(c.n, 0)::bigint as n_repeat_words,
     length(regexp_replace(text, '\P{{L}}+', '', 'g')) as letters, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) as capitals,
     length(regexp_replace(text, '[^!]+', '', 'g')) as bangs,
-    len(list_filter(range(2, len(w.w) + 1), i -> w.w[i] = w.w[i - 1])) as stutters
+    len(list_filter(range(2, len(w.w) + 1), lambda i: w.w[i] = w.w[i - 1])) as stutters
   from w left join covered c on c.doc_id = w.doc_id),
 b as (select *, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -43,8 +43,8 @@ from b"""
 
 OP3 = """
 with v as materialized (
-  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0)
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
 select query_id, rank, vec_id, score from (
   select query_id, vec_id, score, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank
   from (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0))
@@ -73,6 +73,6 @@ starts as (select doc_id, i, lag(i) over (partition by doc_id order by i) as pre
 runs as (select doc_id, min(i) as a, max(i) + {window} as b from (select doc_id, i, sum(case when prev is null or i > prev + {window} then 1 else 0 end) over (partition by doc_id order by i) as run from starts) group by doc_id, run),
 r as (select doc_id, count(*) as n, sum(b - a) as removed, list(a order by a) as a, list(b order by a) as b from runs group by doc_id)
 select d.doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
-  sha256(unhex(case when n is null then x else array_to_string(list_transform(range(1, n + 2), i ->
+  sha256(unhex(case when n is null then x else array_to_string(list_transform(range(1, n + 2), lambda i:
     substr(x, 2 * (case when i = 1 then 0 else b[i - 1] end) + 1, 2 * ((case when i = n + 1 then len(x) // 2 else a[i] end) - (case when i = 1 then 0 else b[i - 1] end)))), '') end)) as kept_sha256
 from d left join r on r.doc_id = d.doc_id"""
