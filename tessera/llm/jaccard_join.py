@@ -193,21 +193,9 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     index = save(shared.select("token", "key", "n", "place").distinct())
 
     classes = save(facts.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first")))
-    chosen = save(index.select("key").distinct().join(classes, "key").select(F.col("first").alias("doc_id")).distinct())
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
-
-    def sets_of(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size) if len(s)]
-            spreads = [np.bincount(s >> np.uint64(64 - SPREAD_BITS), minlength=1 << SPREAD_BITS) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(spreads, pa.list_(pa.int32()))], names=["key", "set", "spread"])
-
-    sets = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(sets_of, "key binary, set binary, spread array<int>")
-    sets = save(sets)  # one for each class, but for repeated rows
+    spreads = save(sets_of(docs, index.select("key").distinct(), classes, size, "spread"))
 
+    sets = lambda keys: sets_of(docs, keys, classes, size, "set")
     links, groups = None, None
     for order, steps in ([F.col("n"), F.col("key")], ()), ([F.xxhash64("key", "token")], (2, 3)):
         index = save(open_buckets(index, groups))
@@ -217,17 +205,17 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         near = index.select(me.alias("a"), *[x.alias(f"b{i}") for i, x in enumerate(others)])
         near = near.select("a", F.explode(F.array(*[f"b{i}" for i in range(len(others))])).alias("b")).where(F.col("b").isNotNull() & (F.col("a.group") != F.col("b.group")))
         pairs = near.where(allowed(percent)).select(*pair()).distinct()
-        links, groups = grown(links, pairs, sets, percent)
+        links, groups = grown(links, pairs, spreads, sets, percent)
     # A pair is made at the first token it shares: not where one of the three before is shared as well.
     earlier = Window.partitionBy("key").orderBy("place")
     index = save(open_buckets(index, groups))
     left = index.withColumn("before", F.array_compact(F.array(*[F.lag("token", k).over(earlier) for k in (1, 2, 3)])))
-    left = save(left.join(sets.select("key", "spread").dropDuplicates(["key"]), "key"))
+    left = save(left.join(spreads, "key"))
     both = left.alias("a").join(
         left.alias("b"),
         (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent) & ~F.arrays_overlap("a.before", "b.before") & spread_allows(percent),
     )
-    links, groups = grown(links, both.select(*pair()).distinct(), sets, percent)
+    links, groups = grown(links, both.select(*pair()).distinct(), spreads, sets, percent)
 
     named = groups.withColumnRenamed("node", "key").join(classes, "key")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
@@ -246,16 +234,36 @@ def open_buckets(index: DataFrame, groups: DataFrame | None) -> DataFrame:
     return x.withColumn("low", F.min("group").over(by_token)).withColumn("high", F.max("group").over(by_token)).where("low <> high").drop("low", "high")
 
 
-def grown(links: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame, size: int, what: str) -> DataFrame:
+    """key and its set (sorted hashes as bytes) or spread, for the keys given, from one document of each class."""
+    chosen = save(keys.join(classes, "key").select(F.col("first").alias("doc_id")).distinct())
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size) if len(s)]
+            if what == "set":
+                values = pa.array([s.tobytes() for s in sets], pa.binary())
+            else:
+                values = pa.array([np.bincount(s >> np.uint64(64 - SPREAD_BITS), minlength=1 << SPREAD_BITS) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), values], names=["key", what])
+
+    kind = "binary" if what == "set" else "array<int>"
+    found = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(run, f"key binary, {what} {kind}")
+    return found.groupBy("key").agg(F.first(what).alias(what))  # repeated rows give a key twice
+
+
+def grown(links: DataFrame | None, pairs: DataFrame, spreads: DataFrame, sets, percent: int) -> tuple[DataFrame, DataFrame]:
     """The links with those of the pairs that hold and aren't known, and their components."""
     if links is not None:
         pairs = pairs.join(links, ["a", "b"], "left_anti")
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.struct(F.aggregate("spread", F.lit(0), lambda x, y: x + y).alias("n"), "spread").alias(f"of_{side}")).dropDuplicates([side]), side)
+        pairs = pairs.join(spreads.select(F.col("key").alias(side), F.struct(F.aggregate("spread", F.lit(0), lambda x, y: x + y).alias("n"), "spread").alias(f"of_{side}")), side)
     near = save(pairs.select("a", "b", F.col("of_a").alias("x"), F.col("of_b").alias("y")).where(spread_allows(percent, "x", "y")).select("a", "b"))
-    keys = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    new = verified(near, sets.join(keys, "key", "left_semi"), percent)
+    new = verified(near, save(sets(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())), percent)
     links = new if links is None else links.unionByName(new)
     return links, components(links)
 
