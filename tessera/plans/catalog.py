@@ -11,6 +11,7 @@ from ..config import Config
 from ..functions import seeds, similarity, text
 from ..operators import column_types, mapping, relations, search, selection, uri
 from ..sources import tables
+from ..sources.scratch import stored
 from . import fixtures, oracles
 
 CONFIG = Config(as_of_year=2024, correct=False)
@@ -46,11 +47,11 @@ class Steps:
 
     @property
     def top(self):
-        return search.ranked(search.dedupe(self.hits), CONFIG)
+        return stored(search.ranked(search.dedupe(self.hits), CONFIG))
 
     @property
     def candidates(self):
-        return search.search_entities(self.cells, self.kb, CONFIG)
+        return stored(search.search_entities(self.cells, self.kb, CONFIG))
 
     @property
     def mapped(self):
@@ -58,7 +59,7 @@ class Steps:
 
     @property
     def scored(self):
-        return uri.boost_by_uri(self.mapped, CONFIG)
+        return stored(uri.boost_by_uri(self.mapped, CONFIG))
 
     @property
     def votes(self):
@@ -66,7 +67,7 @@ class Steps:
 
     @property
     def leading(self):
-        return column_types.leading_types(self.votes, CONFIG)
+        return stored(column_types.leading_types(self.votes, CONFIG))
 
     @property
     def preferred(self):
@@ -343,7 +344,7 @@ def cta_final(spark, sf_dir):
     return selection.assign_types(Steps(spark, sf_dir).preferred).select("table_id", "col_idx", "type_uri", "label", F.round("confidence", 6).alias("confidence"), F.array_join("alternatives.uri", " ").alias("alternatives"))
 
 
-CTA_TARGETS = """select p_partkey as target_no, case when p_partkey % 3 = 0 then 'missing' when p_partkey % 3 = 1 then 'customers' else 'parts' end as table_id, cast(p_partkey % 4 as int) as col_idx, 'old' as result from {part}"""
+CTA_TARGETS = """select p_partkey as target_no, case when p_partkey % 4 = 0 then 'missing' when p_partkey % 4 = 1 then 'nations' when p_partkey % 4 = 2 then 'segments' else 'parts' end as table_id, cast(p_partkey % 3 as int) as col_idx, 'old' as result from {part}"""
 
 
 @query(oracles.chain(f"""select t.target_no, t.table_id, t.col_idx, coalesce(p.type_uri, t.result) as result from ({CTA_TARGETS.replace("{part}", "part")}) t

@@ -18,6 +18,12 @@ select 'customers', cast(row_number() over (order by c_custkey) - 1 as int), 1,
 from {customer}
 union all
 select 'parts', cast(row_number() over (order by p_partkey) - 1 as int), 0, 'name', p_name from {part}
+union all
+select 'nations', cast(n_nationkey as int), 0, 'nation', n_name from {nation}
+union all
+select 'segments', cast(row_number() over (order by c_mktsegment) - 1 as int), 0, 'city', c_mktsegment from (select distinct c_mktsegment from {customer}) s
+union all
+select 'segments', cast(row_number() over (order by c_mktsegment) - 1 as int), 1, 'country', 'NATION_' || row_number() over (order by c_mktsegment) from (select distinct c_mktsegment from {customer}) t
 """
 
 SEARCH = """
