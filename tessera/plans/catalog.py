@@ -89,6 +89,13 @@ def clean_cells(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.clean(F.substring("text", 1, 200)).alias("cleaned"))
 
 
+@query(f"""select doc_id, case when lower(v) in ('null', 'n/a') then '' else v end as cleaned from (
+  select doc_id, {DIACRITICS.format("trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))")} as v from documents)""")
+def clean_texts(spark, sf_dir):
+    """clean_cells on whole texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
 NULLS = "case when o_orderkey % 4 = 0 then ' N/A ' when o_orderkey % 4 = 1 then 'Null' when o_orderkey % 4 = 2 then '   ' else o_orderpriority end"
 
 

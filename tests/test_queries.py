@@ -33,3 +33,11 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_clean_whole_texts(spark, tmp_path):
+    long = "abc " * 60
+    rows = [(0, long + " \u00e9\u00a0\t x^` "), (1, " " * 300 + "N/A"), (2, "\u00fc  " * 400_000), (3, None), (4, "n" * 250 + "\u0301")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.queries()["clean_texts"](spark, str(tmp_path)).collect()}
+    assert got == {0: long + "e x", 1: "", 2: " ".join("u" * 400_000), 3: "", 4: "n" * 250}
