@@ -323,6 +323,20 @@ def test_cuts():
     assert flat[-1] == 10_000 and max(np.diff([0, *flat])) <= token_store.MOST
 
 
+def test_token_store_shares_passages(spark):
+    import public_tokenizers as P
+
+    passages = [sentence(3000 + i, 500) for i in range(20)]
+    texts = [" ".join((sentence(4000 + i, 100), passages[i // 2], sentence(5000 + i, 100))) for i in range(40)]
+    tokens = token_store.Tokens.from_path(P.path("byte_bpe_50k.json"))
+    n = [len(x) // 4 for x in tokens.encode(passages)]
+    store = token_store.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokens, 2)
+    documents = store.where("kind = 'document'").collect()
+    kept = sum(len(token_store.unpack(bytes(r["payload"]))) for r in documents)
+    saved = sum(r["n_tokens"] for r in documents) - kept
+    assert saved > 0.5 * sum(n)
+
+
 def test_language(spark, empty):
     r = np.random.default_rng(2)
     letters = {"aa": list("abcde fgh"), "bb": list("zyxwé uvt")}
