@@ -285,6 +285,16 @@ def uri_contains(spark, sf_dir):
     return p.select("page_id", uri.contains_value(F.col("url"), F.col("page_id").cast("string")).alias("held"), text.matching_form(text.last_part(F.lower("url"))).alias("part"))
 
 
+LAST_PART = "coalesce(nullif(regexp_extract(lower(url), '[^/#]*$'), ''), lower(url))"
+
+
+@query(f"select page_id, contains({oracles.NORM.format(LAST_PART)}, {oracles.NORM.format('page_id::varchar')}) as held, {oracles.NORM.format(LAST_PART)} as part from pages")
+def uri_contains_all(spark, sf_dir):
+    """uri_contains on every page; a URL that ends in a slash or hash counts whole."""
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", uri.contains_value(F.col("url"), F.col("page_id").cast("string")).alias("held"), text.matching_form(text.last_part(F.lower("url"))).alias("part"))
+
+
 @query(oracles.chain(f"select distinct type_uri, {oracles.label('type_uri')} as label from kb_types where source = 'DBpedia'"))
 def uri_labels(spark, sf_dir):
     return Steps(spark, sf_dir).kb.types.where("source = 'DBpedia'").select("type_uri", text.uri_label(F.col("type_uri")).alias("label")).distinct()

@@ -41,3 +41,10 @@ def test_clean_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["cleaned"] for r in catalog.queries()["clean_texts"](spark, str(tmp_path)).collect()}
     assert got == {0: long + "e x", 1: "", 2: " ".join("u" * 400_000), 3: "", 4: "n" * 250}
+
+
+def test_uri_contains_every_page(spark, duck):
+    got = catalog.queries()["uri_contains_all"](spark, SF).collect()
+    ends = duck.sql("select page_id, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') from pages where url like '%/' or url like '%#'").fetchall()
+    assert len(got) == duck.sql("select count(*) from pages").fetchall()[0][0]
+    assert ends and set(ends) <= {(r["page_id"], r["part"]) for r in got}
