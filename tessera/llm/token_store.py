@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -246,9 +247,13 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
 def read(store: DataFrame, checksums: bool = False) -> DataFrame:
     """uid, doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit, as bytes) of every document, verified.
 
+    Fails at once if a manifest differs from its shard, and when run if a document differs from its recipe.
     checksums: in place of ids their unsigned CRC-32, ``ids_crc32``.
     """
     small_batches(store.sparkSession, 256)
+    broken = [r["shard"] for r in broken_shards(store).collect()]
+    if broken:
+        raise ValueError(f"shards {sorted(broken)} differ from their manifests")
     name = "ids_crc32" if checksums else "ids"
     documents = store.where("kind = 'document'")
     manifests = store.where("kind = 'manifest'").select("shard", F.col("n_tokens").alias("in_shard"))
@@ -276,14 +281,16 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
 
         for batch in batches:
             out = []
-            read = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keys", "lens", "marks", "root", "payload", "parts")), strict=True)
-            for doc_id, keys, lens, marks, root, payload, parts in read:
+            read = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "keys", "lens", "marks", "root", "payload", "parts")), strict=True)
+            for doc_id, n_tokens, keys, lens, marks, root, payload, parts in read:
                 lens, marks = np.frombuffer(lens, dtype="<u4"), np.frombuffer(marks, dtype=np.uint8)
                 ids = unpack(payload)
                 ends = np.cumsum(lens * (marks > 0), dtype=np.int64)
                 parts = {p["pos"]: np.frombuffer(p["chunk"][1:], dtype=f"<u{p['chunk'][0]}") for p in parts or ()}
+                if any(k not in parts for k in np.flatnonzero(marks == 0).tolist()):
+                    raise ValueError(f"document {doc_id} lacks a chunk")
                 chunks = [ids[e - n : e] if m else parts[k] for k, (n, e, m) in enumerate(zip(lens.tolist(), ends.tolist(), marks.tolist(), strict=True))]
-                if b"".join(map(digest, chunks)) != keys or merkle(leaves(keys)) != root:
+                if b"".join(map(digest, chunks)) != keys or merkle(leaves(keys)) != root or sum(map(len, chunks)) != n_tokens:
                     raise ValueError(f"document {doc_id} differs from its recipe")
                 raw = np.concatenate(chunks).astype("<u4").tobytes()
                 out.append(zlib.crc32(raw) if checksums else raw)
@@ -297,7 +304,7 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
     parts = wanted.join(chunks, "key").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("parts"))
     parts_type = parts.schema["parts"].dataType
     alone = documents.where("not borrows").select(*columns, F.lit(None).cast(parts_type).alias("parts")).mapInArrow(rebuild, result)
-    shared = documents.where("borrows").select(*columns).join(parts, "uid").mapInArrow(rebuild, result)
+    shared = documents.where("borrows").select(*columns).join(parts, "uid", "left").mapInArrow(rebuild, result)
     return alone.unionByName(shared).join(F.broadcast(base), "shard").select("uid", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", name)
 
 
@@ -323,7 +330,8 @@ def broken_shards(store: DataFrame) -> DataFrame:
     def check(shard_rows):
         documents = sorted((r for r in shard_rows["r"] if r["kind"] == "document"), key=lambda r: r["start"])
         manifest = [r for r in shard_rows["r"] if r["kind"] == "manifest"]
-        whole = len(manifest) == 1 and manifest[0]["start"] == len(documents) and manifest[0]["n_tokens"] == sum(r["n_tokens"] for r in documents) and bytes(manifest[0]["root"]) == merkle([bytes(r["root"]) for r in documents])
+        starts = list(accumulate((r["n_tokens"] for r in documents), initial=0))
+        whole = len(manifest) == 1 and manifest[0]["start"] == len(documents) and [*(r["start"] for r in documents), manifest[0]["n_tokens"]] == starts and bytes(manifest[0]["root"]) == merkle([bytes(r["root"]) for r in documents])
         import pandas as pd
 
         return pd.DataFrame({"shard": [] if whole else [int(shard_rows["shard"].iloc[0])]}, dtype="int32")

@@ -323,6 +323,25 @@ def test_cuts():
     assert flat[-1] == 10_000 and max(np.diff([0, *flat])) <= token_store.MOST
 
 
+def test_token_store_read_verifies(docs):
+    import public_tokenizers as P
+
+    store = token_store.write(docs, token_store.Tokens.from_path(P.path("byte_bpe_50k.json")), 2)
+    plus = lambda name, on, n: store.withColumn(name, F.when(on, F.col(name) + n).otherwise(F.col(name)))
+    manifest = store.withColumn("root", F.when(F.col("kind") == "manifest", F.lit(b"other")).otherwise(F.col("root")))
+    for harmed in (plus("n_tokens", F.col("doc_id") == 10, 1), plus("start", F.col("doc_id") == 10, 1), manifest, store.where("doc_id <> 10 or doc_id is null")):
+        with pytest.raises(ValueError, match="differ from their manifests"):
+            token_store.read(harmed)
+    with pytest.raises(Exception, match="lacks a chunk"):
+        token_store.read(store.withColumn("lends", F.lit(False))).collect()
+    place = {r["doc_id"]: r["shard"] for r in store.where("kind = 'document'").collect()}
+    a = next(i for i in range(10, 17) if place[i] == place[i + 1])
+    first, second = F.col("doc_id") == a, F.col("doc_id") == a + 1
+    moved = store.withColumns({"n_tokens": F.col("n_tokens") + F.when(first, 1).when(second, -1).otherwise(0), "start": F.col("start") + F.when(second, 1).otherwise(0)})
+    with pytest.raises(Exception, match="differs from its recipe"):
+        token_store.read(moved).collect()
+
+
 def test_token_store_shares_passages(spark):
     import public_tokenizers as P
 
