@@ -254,6 +254,19 @@ def cea_targets_left_join(spark, sf_dir):
     return selection.fill_cea_targets(targets, selection.best_entity(s.candidates), s.cells).select("target_no", "table_id", "row", "col_idx", "uri")
 
 
+CEA_ALL_ROWS = """select target_no, table_id, cast(1 + j % n as int) as row, cast(floor(j / n) % 3 as int) as col_idx, 'old' as uri from (
+  select o_orderkey as target_no, case when o_orderkey % 5 = 0 then 'missing' else 'customers' end as table_id, o_orderkey - cast(floor(o_orderkey / 5) as bigint) as j, (select count(*) from {customer}) as n from {orders}) o"""
+
+
+@query(oracles.chain(f"""select t.target_no, t.table_id, t.row, t.col_idx, case when t.table_id = 'missing' then t.uri else coalesce(b.uri, '') end as uri from ({CEA_ALL_ROWS.format(orders="orders", customer="customer")}) t
+left join (select table_id, row_idx, col_idx, arg_min(uri, rank) as uri from candidates where source <> 'DBpedia' group by table_id, row_idx, col_idx) b on b.table_id = t.table_id and b.row_idx + 1 = t.row and b.col_idx = t.col_idx"""))
+def cea_targets_all_rows(spark, sf_dir):
+    """cea_targets_left_join with targets for every row and column of 'customers'."""
+    s = Steps(spark, sf_dir)
+    targets = spark.sql(CEA_ALL_ROWS, orders=read(spark, sf_dir, "orders"), customer=read(spark, sf_dir, "customer"))
+    return selection.fill_cea_targets(targets, selection.best_entity(s.candidates), s.cells).select("target_no", "table_id", "row", "col_idx", "uri")
+
+
 # Types
 
 

@@ -48,3 +48,14 @@ def test_uri_contains_every_page(spark, duck):
     ends = duck.sql("select page_id, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') from pages where url like '%/' or url like '%#'").fetchall()
     assert len(got) == duck.sql("select count(*) from pages").fetchall()[0][0]
     assert ends and set(ends) <= {(r["page_id"], r["part"]) for r in got}
+
+
+def test_cea_targets_name_every_row(spark, tmp_path):
+    for t in ("nation", "part"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    row = spark.read.parquet(f"{SF}/customer.parquet").limit(1)
+    row.drop("c_custkey").crossJoin(spark.range(1, 2501).withColumnRenamed("id", "c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(25_000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.queries()["cea_targets_all_rows"](spark, str(tmp_path)).where("table_id = 'customers'").collect()
+    assert {(r["row"], r["col_idx"]) for r in got} == {(i, c) for i in range(1, 2501) for c in range(3)}
+    assert all(r["uri"] for r in got if r["col_idx"] < 2)
