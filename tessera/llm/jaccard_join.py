@@ -59,8 +59,9 @@ def least_common(percent: int, a: Column, b: Column) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def facts_and_sketch(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, key), and of the sketch (block, counts): in how many documents shingles of a slot are."""
+def facts_and_sketch(docs: DataFrame, size: int, digest: bool = False) -> DataFrame:
+    """Rows of documents (doc_id, n, key, and digest of the text if asked for), and of the sketch (block, counts): in how many documents shingles of a slot are."""
+    more = ["digest"] if digest else []
 
     def run(batches):
         import numpy as np
@@ -68,19 +69,25 @@ def facts_and_sketch(docs: DataFrame, size: int) -> DataFrame:
         import zstandard
 
         slots = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["doc_id", "n", "key", "block", "counts"]
+        names = ["doc_id", "n", "key", "block", "counts", *more]
         for batch in batches:
             n, keys = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 n.append(len(s))
                 keys.append(set_key(s))
                 np.add.at(slots, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), *(batch.column(c) for c in more)], names=names)
         k = len(slots) // SKETCH_BLOCK
         parts = [zstandard.compress(x.tobytes(), 1) for x in slots.reshape(k, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(k, pa.binary()) for _ in more)], names=names)
 
-    return save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, block int, counts binary"))
+    columns = [F.col("doc_id").cast("long"), "text", *(text_digest().alias(c) for c in more)]
+    return save(docs.select(*columns).mapInArrow(run, "doc_id long, n long, key binary, block int, counts binary" + ", digest binary" * digest))
+
+
+def text_digest() -> Column:
+    """128 bits that stand for the column text."""
+    return F.unhex(F.md5("text"))
 
 
 def sketch_of(rows: DataFrame):
@@ -177,13 +184,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return save(joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
 
 
-def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every document."""
+def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every document, and text_digest() if asked for."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    rows = facts_and_sketch(docs, size)
-    facts = rows.where(F.col("block").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key")
+    rows, more = facts_and_sketch(docs, size, digest), ["digest"] if digest else []
+    facts = rows.where(F.col("block").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key", *more)
     index = prefixes(docs, sketch_of(rows), size, percent)
     by_token = Window.partitionBy("token")
     # Buckets of two classes and more; of those, rows whose nearest neighbour by size is near enough.
@@ -222,7 +229,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     named = named.join(smallest, "component").select("key", "smallest")
     labels = save(classes.join(named, "key", "left").select("key", F.coalesce("smallest", "first").alias("component_id")))
     out = facts.join(labels, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def open_buckets(index: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -269,10 +276,13 @@ def grown(links: DataFrame | None, pairs: DataFrame, spreads: DataFrame, sets, p
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs' columns: of each group the row with the smallest doc_id, of equal rows one.  Rows without words stay."""
-    groups = save(jaccard_groups(docs, size, percent))
-    later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("later")).distinct()
+    """docs' columns: of each group the row with the smallest doc_id, of equal rows one.  Rows without words stay.
+
+    A doc_id may stand for several texts, each of which stays or goes by its own group.
+    """
+    groups = save(jaccard_groups(docs, size, percent, digest=True))
+    later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("later"), "digest").distinct()
     others = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    rest = docs.select("doc_id", "text", others.alias("row")).join(later, F.col("doc_id") == F.col("later"), "left_anti")
+    rest = docs.select("doc_id", "text", others.alias("row")).join(later, (F.col("doc_id") == F.col("later")) & (text_digest() == later["digest"]), "left_anti")
     rest = rest.groupBy("doc_id", "text").agg(F.first("row").alias("row"))
     return rest.select(*[F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in docs.columns])

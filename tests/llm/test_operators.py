@@ -117,6 +117,15 @@ def test_jaccard_near_copies(spark):
     assert got == dict(enumerate(group))
 
 
+def test_first_of_groups_keeps_other_texts_of_an_id(spark):
+    base, other = sentence(21, 90), sentence(22, 90)
+    near = base.split()
+    near[40] = "changed"
+    rows = [(1, base), (7, " ".join(near)), (7, other), (7, None), (8, other), (9, base)]
+    got = jaccard_join.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")), 5, 80)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, base), (7, other), (7, None)], key=str)
+
+
 def test_quality(spark, docs, rows, empty):
     def measures(t):
         t = t or ""
