@@ -85,10 +85,28 @@ def squeezed(v: Column) -> Column:
     return F.trim(F.regexp_replace(v, BLANK + "+", " "))
 
 
+def _composed() -> str:
+    """A character class of the letters beyond LATIN whose canonical decomposition holds a diacritic."""
+    codes = []
+    for code in range(0x110000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if parts != chr(code) and chr(code) not in LATIN[0] and any(unicodedata.category(c) == "Mn" or c in SPACING_MARKS for c in parts):
+            codes.append(code)
+    return "[" + "".join(f"\\x{{{c:X}}}" for c in codes) + "]"
+
+
+COMPOSED = _composed()
+
+
 def clean(v: Column) -> Column:
-    """Trim, collapse white space, drop diacritics; null-like values become empty."""
+    """Trim, collapse white space, drop diacritics; null-like values become empty.
+
+    Only values with composed letters beyond the Latin blocks leave the JVM.
+    """
     plain = F.regexp_replace(F.translate(squeezed(v), *LATIN), MARKS, "")
-    return bound(plain, lambda p: F.when(F.lower(p).isin("null", "n/a") | p.isNull(), F.lit("")).otherwise(p))
+    fast = bound(plain, lambda p: F.when(F.lower(p).isin("null", "n/a") | p.isNull(), F.lit("")).otherwise(p))
+    other = v.rlike(COMPOSED)
+    return F.when(other, clean_exact(F.when(other, v))).otherwise(fast)
 
 
 @F.pandas_udf(StringType())

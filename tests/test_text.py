@@ -49,6 +49,12 @@ def test_clean(spark):
         assert results(spark, rows, lambda df, f=f: df.select("i", f(F.col("v")).alias("out"))) == [b for _, b in rows]
 
 
+def test_clean_beyond_latin(spark):
+    rows = [("\u03ac  \u0439", "\u03b1 \u0438"), ("\u0401\u00e9", "\u0415e"), ("\u1f84", "\u03b1"), ("\ud55c", "\ud55c"), ("\u0438", "\u0438"), ("a\u1fef", "a")]
+    for f in (text.clean, text.clean_exact):
+        assert results(spark, rows, lambda df, f=f: df.select("i", f(F.col("v")).alias("out"))) == [b for _, b in rows]
+
+
 def test_spelling_is_one_pass(spark):
     assert results(spark, [("UntillLiason", 0), (None, 0)], lambda df: df.select("i", text.spelling(F.col("v")).alias("out"))) == ["UntilLiaison", None]
 
