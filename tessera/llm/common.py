@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these.
@@ -22,13 +23,15 @@ def words(text: Column) -> Column:
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared checkpoint folder.
 
-    The folder is read from the session's spark.checkpoint.dir.  Where that is unset, which is only
-    right on a single machine, a folder is made and set on the context.
+    The folder is read from the session's spark.checkpoint.dir.  Where that is unset, a folder is made and set
+    on the context if the master is this machine alone; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
@@ -56,34 +59,38 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches of at most so many rows.  Spark bounds a batch by 64 MB; this bounds what is worked on at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker."""
     return sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache")).__dict__
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b): returns (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds: in each, a node's neighbours move to its smallest
-    neighbour, so that depth halves.  Every round is a written table.  Self-links give a component of one.
-    Empty links give an empty result.
+    Alternating large-star and small-star rounds, until a round changes nothing: in each, a node's neighbours
+    move to its smallest neighbour, so that depth halves.  Every round is a written table, which counts itself
+    as it is written.  Self-links give a component of one.  Empty links give an empty result.
     """
-    edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes = edges
-    seen = None
-    for _ in range(max_rounds):
+    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), None
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = save(small.where("u > v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        state = Observation()
+        found = small.where("u > v").distinct().observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = save(found)
+        if state.get == seen or not state.get["n"]:
             break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = nodes.select(F.col("u").alias("node")).union(nodes.select("v")).distinct()
+        seen = state.get
+    roots = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     return roots.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

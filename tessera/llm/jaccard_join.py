@@ -1,17 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and their groups.
 
-Equal sets are one class from the start.  A class is indexed under the rarest shingles of its set (a
-prefix long enough that two similar sets share one), and classes that meet there are candidates if
-their lengths and the places where they meet allow the similarity.  A candidate pair is verified once,
-after a suffix filter, on whole sets.
-
-Groups need no pair within what is already connected.  In each bucket of the index first only chains and
-stars are verified; a bucket whose classes are all connected then is done.  Only in what is left all
-pairs of different groups are candidates, so every link between groups is found.
-
-Text is lower-cased in A-Z; a text with fewer words than a shingle is one shingle; null text and text
-without words have an empty set, linked with nothing.  Repeated rows are rows of one class.  An empty
-table has an empty result.
+Equal texts (words lower-cased in A-Z) are one class from the start.  A class is indexed under the rarest
+shingles of its set (a prefix long enough that two similar sets share one), and classes that meet there are
+candidates if their lengths, the places where they meet and how their shingles spread over ranges of hashes
+(a suffix filter) allow the similarity.  A candidate pair is verified once, word by word on both texts: hashes
+find candidates, they decide nothing.
+
+Groups need no pair within what is already connected.  In each bucket of the index first only neighbours in two
+orders are verified; a bucket whose classes are all connected then is done.  In what is left, every class
+outside the bucket's largest group is a candidate with all classes of other groups, so every link between groups
+is found.  Buckets that are expected to be large are split for the first step, and joined whole in the second.
+
+A text with fewer words than a shingle is one shingle; null text and text without words have an empty set,
+linked with nothing.  Repeated rows are rows of one class.  An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -19,24 +20,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save, small_batches
+from .common import components, save, sliced
 from .rolling import blocks, mix, windows, word_hashes
 
 #: Counters of the frequency sketch (2**SKETCH_BITS of 4 bytes: what is broadcast), in blocks.
 SKETCH_BITS, SKETCH_BLOCK = 20, 4_096
+#: Bits of the map of indexed classes (2**MAP_BITS / 8 bytes: what is broadcast).  Beyond what it tells apart, texts
+#: that are not needed are kept as well.
+MAP_BITS = 26
 #: Ranges of hashes (2**SPREAD_BITS) in which a set's shingles are counted.
 SPREAD_BITS = 7
-#: Lists of keys of up to this many rows are sent to all executors; longer ones are joined by shuffle.
-BROADCAST_KEYS = 200_000
+#: A bucket expected to hold more than both of these (classes; share of all documents) is split.
+SPLIT_ROWS, SPLIT_SHARE = 10_000, 1 / 256
 
 
-def shingle_sets(texts: list[str | None], size: int):
-    """The sorted distinct shingle hashes of each text."""
+def normal(texts: list[str | None]) -> list[bytes]:
+    """Words lower-cased in A-Z, joined by a space."""
+    return [b" ".join((t or "").encode().lower().split()) for t in texts]
+
+
+def class_key(text: bytes) -> bytes | None:
+    """128 bits that stand for a normal text."""
+    import hashlib
+
+    return hashlib.blake2b(text, digest_size=16).digest() if text else None
+
+
+def shingle_sets(texts: list[bytes], size: int):
+    """The sorted distinct shingle hashes of each normal text."""
     import numpy as np
 
-    raw = [(t or "").encode().lower() for t in texts]
-    for lo, hi in blocks(raw):
-        hashes, at = word_hashes(raw[lo:hi])
+    for lo, hi in blocks(texts):
+        hashes, at = word_hashes(texts[lo:hi])
         for a, b in zip(at, at[1:], strict=False):
             own = hashes[a:b]
             if 0 < len(own) < size:
@@ -45,13 +60,25 @@ def shingle_sets(texts: list[str | None], size: int):
                 yield np.unique(windows(own, size))
 
 
-def set_key(shingles) -> bytes | None:
-    """128 bits that stand for a set."""
+def alike(x: bytes, y: bytes, size: int, percent: int) -> bool:
+    """Whether the shingle sets of two normal texts are similar, by their words."""
     import numpy as np
 
-    if not len(shingles):
-        return None
-    return np.array([mix(shingles, 5).sum(), mix(shingles, 6).sum()], dtype="<u8").tobytes()
+    x, y = x.split(), y.split()
+    if min(len(x), len(y)) < size:
+        return x == y
+    number = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    word = np.fromiter(map(number.__getitem__, x + y), np.int64, len(x) + len(y))
+    # The number of each run of words: of runs one shorter and the next word; renumbered where it would overflow.
+    code, most = word, len(number)
+    for k in range(1, size):
+        if most * len(number) >= 2**62:
+            _, code = np.unique(code, return_inverse=True)
+            most = int(code.max()) + 1
+        code, most = code[:-1] * len(number) + word[k:], most * len(number)
+    a, b = np.unique(code[: len(x) - size + 1]), np.unique(code[len(x) :])
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def least_common(percent: int, a: Column, b: Column) -> Column:
@@ -70,13 +97,13 @@ def facts_and_sketch(docs: DataFrame, size: int, digest: bool = False) -> DataFr
 
         slots = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         names = ["doc_id", "n", "key", "block", "counts", *more]
-        for batch in batches:
-            n, keys = [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), size):
+        for batch in sliced(batches):
+            texts = normal(batch.column("text").to_pylist())
+            n = []
+            for s in shingle_sets(texts, size):
                 n.append(len(s))
-                keys.append(set_key(s))
                 np.add.at(slots, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), *(batch.column(c) for c in more)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(map(class_key, texts), pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), *(batch.column(c) for c in more)], names=names)
         k = len(slots) // SKETCH_BLOCK
         parts = [zstandard.compress(x.tobytes(), 1) for x in slots.reshape(k, -1)]
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary()), *(pa.nulls(k, pa.binary()) for _ in more)], names=names)
@@ -90,55 +117,133 @@ def text_digest() -> Column:
     return F.unhex(F.md5("text"))
 
 
-def sketch_of(rows: DataFrame):
-    """The summed sketch: 2**SKETCH_BITS numbers, whatever the size of the corpus."""
-    import numpy as np
+def joined_blocks(rows: DataFrame, kind: str, how: str) -> dict[int, bytes]:
+    """The blocks of compressed numbers in rows(block, counts), added up or or-ed: as many as there are blocks, whatever the size of the corpus."""
 
-    def add(batches):
+    def merge(batches):
+        import numpy as np
         import pandas as pd
         import zstandard
 
-        sums: dict = {}
+        merged: dict = {}
         for rows in batches:
             for block, counts in zip(rows["block"], rows["counts"], strict=True):
-                own = np.frombuffer(zstandard.decompress(counts), dtype=np.uint32)
-                sums[block] = sums[block] + own if block in sums else own.astype(np.uint64)
-        yield pd.DataFrame({"block": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+                own = np.frombuffer(zstandard.decompress(counts), dtype=kind)
+                merged[block] = getattr(np, how)(merged[block], own) if block in merged else own
+        yield pd.DataFrame({"block": list(merged), "counts": [x.tobytes() for x in merged.values()]})
 
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, dtype=np.uint64).reshape(-1, SKETCH_BLOCK)
-    for r in rows.where(F.col("block").isNotNull()).select("block", "counts").repartition(8, "block").mapInPandas(add, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(bytes(r["counts"]), dtype=np.uint64)
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+    return {r["block"]: bytes(r["counts"]) for r in rows.repartition(8, "block").mapInPandas(merge, "block int, counts binary").collect()}
 
 
-def prefixes(docs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
-    """(token, key, n, place) for the prefix of each class; a class may come from several tasks."""
+def sketch_of(rows: DataFrame):
+    """The summed sketch: 2**SKETCH_BITS numbers."""
+    import numpy as np
+
+    found = joined_blocks(rows.where(F.col("block").isNotNull()).select("block", "counts"), "<u4", "add")
+    none = bytes(4 * SKETCH_BLOCK)
+    return np.frombuffer(b"".join(found.get(k, none) for k in range((1 << SKETCH_BITS) // SKETCH_BLOCK)), dtype=np.uint32)
+
+
+def indexed(docs: DataFrame, sketch, n_docs: int, size: int, percent: int) -> DataFrame:
+    """(token, part, key, n, place) for the prefix of each class; a class may come from several tasks.
+
+    part is the token, or for a bucket that may be large one of its parts.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    most = max(SPLIT_ROWS, int(n_docs * SPLIT_SHARE))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         seen, counts = set(), sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for s in shingle_sets(batch.column("text").to_pylist(), size):
-                key = set_key(s)
+            texts = normal(batch.column("text").to_pylist())
+            for text, s in zip(texts, shingle_sets(texts, size), strict=True):
+                key = class_key(text)
                 if key is None or key in seen:
                     continue
                 seen.add(key)
                 n = len(s)
                 first = n - (percent * n + 99) // 100 + 1
-                order = np.lexsort((s, counts[s >> np.uint64(64 - SKETCH_BITS)]))[:first]
-                out.append((s[order].view(np.int64), key, n, first))
-            lengths = [x[3] for x in out]
-            tokens = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
-            keys = pa.array([x[1] for x in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), lengths)))
-            sizes = np.repeat(np.array([x[2] for x in out], dtype=np.int32), lengths)
+                often = counts[s >> np.uint64(64 - SKETCH_BITS)]
+                order = np.lexsort((s, often))[:first]
+                token = s[order]
+                salt = int.from_bytes(key[:8], "little") % (often[order].astype(np.uint64) // np.uint64(most) + np.uint64(1))
+                out.append((token, np.where(often[order] < most, token, mix(token + salt, 8)), key, n, first))
+            lengths = [x[4] for x in out]
+            none = np.zeros(0, np.uint64)
+            tokens, parts = (np.concatenate([x[k] for x in out]) if out else none for k in (0, 1))
+            keys = pa.array([x[2] for x in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), lengths)))
+            sizes = np.repeat(np.array([x[3] for x in out], dtype=np.int32), lengths)
             places = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if out else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), keys, pa.array(sizes, pa.int32()), pa.array(places, pa.int32())], names=["token", "key", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(parts.view(np.int64)), keys, pa.array(sizes, pa.int32()), pa.array(places, pa.int32())], names=["token", "part", "key", "n", "place"])
+
+    rows = docs.select("text").mapInArrow(run, "token long, part long, key binary, n int, place int")
+    # Buckets of two classes and more; of those, rows whose nearest neighbour by size is near enough.  All rows of split buckets.
+    by_part = Window.partitionBy("part")
+    by_size = by_part.orderBy("n", "key")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    several = F.min("key").over(by_part) != F.max("key").over(by_part)
+    kept = rows.withColumn("kept", (F.col("part") != F.col("token")) | (several & near)).where("kept").drop("kept")
+    out = save(kept.distinct())
+    sent.destroy()
+    return out
+
+
+def texts_of(docs: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """key, spread and packed (the compressed normal text) of the classes in the index, and maybe of others."""
+
+    def mark(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        bits = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+        for batch in batches:
+            at = map_place(b"".join(batch.column("key").to_pylist()))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = bits.reshape(-1, 1 << 17)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zstandard.compress(parts[k].tobytes(), 1) for k in used], pa.binary())], names=["block", "counts"])
+
+    found = joined_blocks(index.select("key").mapInArrow(mark, "block int, counts binary"), "u1", "bitwise_or")
+    sent = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        seen, pack = set(), zstandard.ZstdCompressor(level=1)
+        maps = {k: np.frombuffer(x, dtype=np.uint8) for k, x in sent.value.items()}
+        for batch in sliced(batches):
+            keys, texts = [], []
+            for text in normal(batch.column("text").to_pylist()):
+                key = class_key(text)
+                if key is None or key in seen:
+                    continue
+                at = int(map_place(key)[0])
+                own = maps.get(at >> 20)
+                if own is not None and own[(at >> 3) & (1 << 17) - 1] >> (at & 7) & 1:
+                    seen.add(key)
+                    keys.append(key)
+                    texts.append(text)
+            spreads = [np.bincount(s >> np.uint64(64 - SPREAD_BITS), minlength=1 << SPREAD_BITS) for s in shingle_sets(texts, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spreads, pa.list_(pa.int32())), pa.array(map(pack.compress, texts), pa.binary())], names=["key", "spread", "packed"])
+
+    rows = docs.select("text").mapInArrow(run, "key binary, spread array<int>, packed binary")
+    out = save(rows.groupBy("key").agg(F.first("spread").alias("spread"), F.first("packed").alias("packed")))
+    sent.destroy()
+    return out
+
+
+def map_place(keys: bytes):
+    """The bit in the map of each key."""
+    import numpy as np
 
-    return docs.select("text").mapInArrow(run, "token long, key binary, n int, place int")
+    return (np.frombuffer(keys, dtype="<u8")[::2] >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
 def allowed(percent: int) -> Column:
@@ -148,131 +253,96 @@ def allowed(percent: int) -> Column:
     return long_enough & (F.least(n - F.col("a.place"), m - F.col("b.place")) >= least_common(percent, n, m))
 
 
-def spread_allows(percent: int, a: str = "a", b: str = "b") -> Column:
+def spread_allows(percent: int, x: Column, y: Column) -> Column:
     """Suffix filter without sets: how many shingles lie in each range of hashes bounds what is common in it."""
-    least = F.zip_with(f"{a}.spread", f"{b}.spread", lambda x, y: F.least(x, y))
-    return F.aggregate(least, F.lit(0), lambda x, y: x + y) >= least_common(percent, F.col(f"{a}.n"), F.col(f"{b}.n"))
-
-
-def pair(a: str = "a", b: str = "b") -> list[Column]:
-    return [F.least(f"{a}.key", f"{b}.key").alias("a"), F.greatest(f"{a}.key", f"{b}.key").alias("b")]
+    total = lambda s: F.aggregate(s, F.lit(0), lambda a, b: a + b)
+    return total(F.zip_with(x, y, lambda a, b: F.least(a, b))) >= least_common(percent, total(x), total(y))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, *more: str) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar, with what else is asked for."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                # Suffix filter: split both at a middle value; what can be common is bounded side by side.
-                mid = y[len(y) // 2]
-                i, j = int(np.searchsorted(x, mid)), len(y) // 2
-                if min(i, j) + min(len(x) - i, len(y) - j) < need:
-                    keep.append(False)
-                    continue
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= need)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = sets.select("key", "set")
-    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    return save(joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches):
+            keep = [alike(unpack(x), unpack(y), size, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", *more)], names=["a", "b", *more]).filter(pa.array(keep, pa.bool_()))
 
+    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("y")), "b")
+    return save(joined.select("a", "b", *more, "x", "y").mapInArrow(run, ", ".join(f"{c} binary" for c in ("a", "b", *more))))
 
-def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, digest: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every document, and text_digest() if asked for."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    rows, more = facts_and_sketch(docs, size, digest), ["digest"] if digest else []
-    facts = rows.where(F.col("block").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key", *more)
-    index = prefixes(docs, sketch_of(rows), size, percent)
-    by_token = Window.partitionBy("token")
-    # Buckets of two classes and more; of those, rows whose nearest neighbour by size is near enough.
-    by_size = by_token.orderBy("n", "key")
-    shared = index.select("*", F.min("key").over(by_token).alias("low"), F.max("key").over(by_token).alias("high"), F.lag("n").over(by_size).alias("shorter"), F.lead("n").over(by_size).alias("longer")).where("low <> high")
-    shared = shared.where((100 * F.col("shorter") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("longer")))
-    index = save(shared.select("token", "key", "n", "place").distinct())
-
-    classes = save(facts.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first")))
-    spreads = save(sets_of(docs, index.select("key").distinct(), classes, size, "spread"))
-
-    sets = lambda keys: sets_of(docs, keys, classes, size, "set")
-    links, groups = None, None
-    for order, steps in ([F.col("n"), F.col("key")], ()), ([F.xxhash64("key", "token")], (2, 3)):
-        index = save(open_buckets(index, groups))
-        ordered = Window.partitionBy("token").orderBy(*order)
-        me = F.struct("key", "n", "place", "group")
-        others = [F.lag(me).over(ordered), F.first(me).over(ordered), *(F.lag(me, k).over(ordered) for k in steps)]
-        near = index.select(me.alias("a"), *[x.alias(f"b{i}") for i, x in enumerate(others)])
-        near = near.select("a", F.explode(F.array(*[f"b{i}" for i in range(len(others))])).alias("b")).where(F.col("b").isNotNull() & (F.col("a.group") != F.col("b.group")))
-        pairs = near.where(allowed(percent)).select(*pair()).distinct()
-        links, groups = grown(links, pairs, spreads, sets, percent)
-    # A pair is made at the first token it shares: not where one of the three before is shared as well.
-    earlier = Window.partitionBy("key").orderBy("place")
-    index = save(open_buckets(index, groups))
-    left = index.withColumn("before", F.array_compact(F.array(*[F.lag("token", k).over(earlier) for k in (1, 2, 3)])))
-    left = save(left.join(spreads, "key"))
-    both = left.alias("a").join(
-        left.alias("b"),
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & allowed(percent) & ~F.arrays_overlap("a.before", "b.before") & spread_allows(percent),
-    )
-    links, groups = grown(links, both.select(*pair()).distinct(), spreads, sets, percent)
 
-    named = groups.withColumnRenamed("node", "key").join(classes, "key")
-    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
-    named = named.join(smallest, "component").select("key", "smallest")
-    labels = save(classes.join(named, "key", "left").select("key", F.coalesce("smallest", "first").alias("component_id")))
-    out = facts.join(labels, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+def neighbours(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): in each part of a bucket a class with the one before it and the first by size, and with the three before it in an order by hash."""
+    by_part = Window.partitionBy("part")
+    by_size, by_hash = by_part.orderBy("n", "key"), by_part.orderBy(F.xxhash64("key", F.pmod("token", F.lit(4))), "key")
+    me = F.struct("key", "n", "place", "token")
+    others = [F.lag(me).over(by_size), F.first(me).over(by_size), *(F.lag(me, k).over(by_hash) for k in (1, 2, 3))]
+    near = index.select(me.alias("a"), F.array(*others).alias("others")).select("a", F.explode("others").alias("b"))
+    near = near.where(F.col("b").isNotNull() & (F.col("a.key") != F.col("b.key")) & (F.col("a.token") == F.col("b.token")) & allowed(percent))
+    return near.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
-def open_buckets(index: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The index with each class's group, without buckets that hold one group only."""
-    if groups is None:
-        return index.withColumn("group", F.col("key"))
-    x = index.drop("group").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
-    by_token = Window.partitionBy("token")
-    return x.withColumn("low", F.min("group").over(by_token)).withColumn("high", F.max("group").over(by_token)).where("low <> high").drop("low", "high")
+def open_buckets(index: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of buckets that hold classes of several groups, with their group, and ``main``, the group that has most of the bucket."""
+    x = index.drop("part").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
+    counts = x.groupBy("token", "group").agg(F.count("*").alias("count"))
+    main = counts.groupBy("token").agg(F.count("*").alias("several"), F.max_by("group", F.struct("count", "group")).alias("main")).where("several > 1")
+    return x.join(main.drop("several"), "token")
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame, size: int, what: str) -> DataFrame:
-    """key and its set (sorted hashes as bytes) or spread, for the keys given, from one document of each class."""
-    chosen = save(keys.join(classes, "key").select(F.col("first").alias("doc_id")).distinct())
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+def left_over(index: DataFrame, groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with their groups (ga, gb) of classes that share a bucket and are not connected."""
+    # A pair is made at the first token it shares: not where one of the three before is shared as well.
+    earlier = Window.partitionBy("key").orderBy("place")
+    x = open_buckets(index, groups)
+    x = x.withColumn("before", F.array_compact(F.array(*[F.lag("token", k).over(earlier) for k in (1, 2, 3)])))
+    x = save(x.join(texts.select("key", "spread"), "key"))
+    apart = F.col("a.group") != F.col("b.group")
+    once = (F.col("b.group") == F.col("b.main")) | (F.col("a.key") < F.col("b.key"))
+    both = x.where(F.col("group") != F.col("main")).alias("a").join(
+        x.alias("b"),
+        (F.col("a.token") == F.col("b.token")) & apart & once & allowed(percent) & ~F.arrays_overlap("a.before", "b.before") & spread_allows(percent, F.col("a.spread"), F.col("b.spread")),
+    )
+    swap = F.col("a.key") > F.col("b.key")
+    one, other = F.struct("a.key", "a.group"), F.struct("b.key", "b.group")
+    ordered = both.select(F.when(swap, other).otherwise(one).alias("x"), F.when(swap, one).otherwise(other).alias("y"))
+    return ordered.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.group").alias("ga"), F.col("y.group").alias("gb")).distinct()
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size) if len(s)]
-            if what == "set":
-                values = pa.array([s.tobytes() for s in sets], pa.binary())
-            else:
-                values = pa.array([np.bincount(s >> np.uint64(64 - SPREAD_BITS), minlength=1 << SPREAD_BITS) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), values], names=["key", what])
+def class_groups(index: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+    pairs = neighbours(index, percent)
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("key").alias(side), F.col("spread").alias(f"of_{side}")), side)
+    tried = save(pairs.where(spread_allows(percent, F.col("of_a"), F.col("of_b"))).select("a", "b"))
+    groups = save(components(verified(tried, texts, size, percent)))
+    rest = save(left_over(index, groups, texts, percent).join(tried, ["a", "b"], "left_anti"))
+    links = verified(rest, texts, size, percent, "ga", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    # Links between groups contract them; a group may be a class that had none before.
+    wider = save(components(links)).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    within = groups.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    alone = wider.join(groups.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("wider").alias("component"))
+    return within.unionByName(alone)
 
-    kind = "binary" if what == "set" else "array<int>"
-    found = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select("text").mapInArrow(run, f"key binary, {what} {kind}")
-    return found.groupBy("key").agg(F.first(what).alias(what))  # repeated rows give a key twice
 
+def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every document, and text_digest() if asked for."""
+    docs = docs.select("doc_id", "text")
+    rows, more = facts_and_sketch(docs, size, digest), ["digest"] if digest else []
+    facts = rows.where(F.col("block").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key", *more)
+    index = indexed(docs, sketch_of(rows), facts.count(), size, percent)
+    groups = class_groups(index, texts_of(docs, index, size), size, percent)
 
-def grown(links: DataFrame | None, pairs: DataFrame, spreads: DataFrame, sets, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The links with those of the pairs that hold and aren't known, and their components."""
-    if links is not None:
-        pairs = pairs.join(links, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        pairs = pairs.join(spreads.select(F.col("key").alias(side), F.struct(F.aggregate("spread", F.lit(0), lambda x, y: x + y).alias("n"), "spread").alias(f"of_{side}")), side)
-    near = save(pairs.select("a", "b", F.col("of_a").alias("x"), F.col("of_b").alias("y")).where(spread_allows(percent, "x", "y")).select("a", "b"))
-    new = verified(near, save(sets(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())), percent)
-    links = new if links is None else links.unionByName(new)
-    return links, components(links)
+    classes = facts.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"))
+    named = save(classes.join(groups.withColumnRenamed("node", "key"), "key", "left"))
+    smallest = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("smallest"))
+    labels = named.join(smallest, "component", "left").select("key", F.coalesce("smallest", "first").alias("component_id"))
+    out = facts.join(labels, "key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 ODD, UNDO = 0x9E3779B97F4A7C15, 0xF1DE83E19937733D  # inverse of each other modulo 2**64
-#: Bytes of text worked on at a time.
-BLOCK = 2 << 20
+#: Bytes of text worked on at a time; places in a word whose spread numbers are kept in a table.
+BLOCK, NEAR = 2 << 20, 32
 
 
 def mix(x, seed: int = 0):
@@ -38,17 +38,27 @@ def blocks(texts: list[bytes]):
 
 
 def word_hashes(texts: list[bytes]):
-    """Hashes of all words, and where each text's words start (one more than texts)."""
+    """Hashes of all words, and where each text's words start (one more than texts).
+
+    A word's hash sums a spread number for each byte at its place, so no pattern of bytes cancels out.
+    """
     import numpy as np
 
     space = np.zeros(256, dtype=bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
     x = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
     gap = space[x]
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:])
-    run = np.cumsum(mix(np.arange(256, dtype=np.uint64), 1)[x] * powers(ODD, len(x)), dtype=np.uint64)
-    back = powers(UNDO, len(x))
-    hashes = mix((run[ends] - run[starts - 1]) * back[starts], 2)
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    letter = place * 256 + x[~gap]
+    near = mix(np.arange(NEAR * 256, dtype=np.uint64), 1)
+    spread = near[np.minimum(letter, NEAR * 256 - 1)]
+    far = place >= NEAR
+    if far.any():
+        spread[far] = mix(letter[far].astype(np.uint64), 1)
+    hashes = mix(np.add.reduceat(spread, first), 2) if len(first) else np.zeros(0, np.uint64)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(starts, offsets)
 
