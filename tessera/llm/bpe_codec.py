@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import sliced, worker_cache
 
 CHUNK, OVERLAP = 65_536, 1_024
 
@@ -61,7 +61,7 @@ def _encoder(codec: Codec, text_column: str):
         import pyarrow as pa
 
         encoding = codec.encoding()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encoding.encode_to_numpy(x or "") for x in batch.column(batch.schema.get_field_index(text_column)).to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -76,7 +76,7 @@ def _pretokeniser(codec: Codec, chunk: int, overlap: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             heads, tails = [], []
             for text, last in zip(batch.column("text").to_pylist(), batch.column("last").to_pylist(), strict=True):
                 at = codec.boundaries(text)
@@ -90,7 +90,6 @@ def _pretokeniser(codec: Codec, chunk: int, overlap: int):
 
 def encode(docs: DataFrame, codec: Codec, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs' columns but the text, with ``ids``, the array of token ids."""
-    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     x = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     row_type = x.schema["row"].dataType.simpleString()
@@ -118,14 +117,13 @@ def encode(docs: DataFrame, codec: Codec, chunk: int = CHUNK, overlap: int = OVE
 
 def decode(coded: DataFrame, codec: Codec) -> DataFrame:
     """coded's columns but ids, with ``decoded``, the bytes."""
-    small_batches(coded.sparkSession)
     kept = [c for c in coded.columns if c != "ids"]
 
     def run(batches):
         import pyarrow as pa
 
         encoding = codec.encoding()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(batch.schema.get_field_index("ids"))
             flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             decoded = [encoding.decode_bytes(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]

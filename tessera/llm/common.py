@@ -54,11 +54,6 @@ def save(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what an Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def sliced(batches, rows: int = 512):
     """Arrow batches of at most so many rows.  Spark bounds a batch by 64 MB; this bounds what is worked on at once."""
     for batch in batches:

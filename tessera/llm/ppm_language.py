@@ -22,7 +22,7 @@ import pickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, worker_cache
+from .common import save, sliced, worker_cache
 
 ORDER = 3
 TRAIN_ROWS, TRAIN_BYTES = 400, 1_000_000
@@ -160,7 +160,6 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int =
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns but the text, with lang_pred and score."""
-    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "text"]
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps([(x, t.orders) for x, t in zip(model.langs, model.trees, strict=True)]))  # bounded by train_bytes for each language
     name = "ppm" + hashlib.sha256(sent.value).hexdigest()
@@ -175,7 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 del cache[old]
             cache[name] = Model({x: Tree(orders) for x, orders in pickle.loads(sent.value)}), {}
         own, table = cache[name]
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if own.langs:

@@ -14,18 +14,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import save, small_batches
+from .common import save, sliced
+from .rolling import mix
 
-#: Lists of copies of up to this many rows are sent to all executors; longer ones are joined by shuffle.
-BROADCAST_COPIES = 50_000
+#: Buckets of documents (2**BUCKET_BITS: what is broadcast); anchors that a task remembers (2**SLOT_BITS).
+BUCKET_BITS, SLOT_BITS = 20, 20
+#: Anchors in more documents than this are not extended as a group: each of their windows is a group by itself.
+OFTEN = 10_000
 ID = ["oid", "tid"]
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs but the text), text (never null), oid (doc_id, nulls first of all) and tid (from the text's digest)."""
+    """row (all columns of docs but the text), text (never null), oid (doc_id, nulls first of all), tid (tells apart texts of one oid) and sha (the text's digest)."""
     text = F.coalesce("text", F.lit(""))
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), oid.alias("oid"), F.xxhash64(F.sha2(text, 256)).alias("tid"), F.sha2(text, 256).alias("sha"))
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), oid.alias("oid"), F.xxhash64(text).alias("tid"), F.sha2(text, 256).alias("sha"))
+
+
+def parted(x: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """x in two: rows that ids (of the same oid and tid) may name, and rows that they do not.
+
+    ids are sent to all executors as numbers of buckets, of which there are 2**BUCKET_BITS at most, so that the
+    texts of the second part need not be moved.
+    """
+    bucket = F.pmod(F.xxhash64(*ID), F.lit(1 << BUCKET_BITS)).cast("int")
+    named = F.broadcast(save(ids.select(bucket.alias("bucket")).distinct()))
+    x = x.withColumn("bucket", bucket)
+    return x.join(named, "bucket", "left_semi").drop("bucket"), x.join(named, "bucket", "left_anti").drop("bucket")
 
 
 def copies(x: DataFrame) -> DataFrame:
@@ -37,25 +52,77 @@ def copies(x: DataFrame) -> DataFrame:
 
 def representatives(x: DataFrame, copied: DataFrame) -> DataFrame:
     """x without all but the first of each group of copies."""
-    later = copied.where("oid > first").select("oid", "tid").distinct()
-    later = F.broadcast(later) if later.count() <= BROADCAST_COPIES else later
-    return x.join(later, ID, "left_anti")
+    later = copied.where("oid > first").select(*ID).distinct()
+    maybe, never = parted(x, later)
+    return never.unionByName(maybe.join(later, ID, "left_anti"))
 
 
-def seeds(reps: DataFrame, anchors: Callable, across_documents: bool) -> DataFrame:
-    """oid, seeds: the anchors of each document that recur (in another document, or anywhere).
+def recurring(reps: DataFrame, anchors: Callable, across_documents: bool) -> DataFrame:
+    """oid, tid, anchor: the anchors of each document that recur (in another document, or anywhere); written.
 
-    anchors(batches) turns batches of oid, text into rows oid, anchor, n: one for each anchor of a document,
-    and how often it has it.
+    anchors(batches) gives for batches of oid, tid, text lists of (row of the batch, its anchors, with repeats).
+
+    A task sends an anchor to where all tasks' rows of it meet only twice; what it has seen twice recurs, and its
+    further rows are dealt out at random.
     """
-    small_batches(reps.sparkSession, 256)
-    rows = reps.select("oid", "text").mapInArrow(anchors, "oid long, anchor long, n int")
-    same = Window.partitionBy("anchor")
-    if across_documents:
-        rows = rows.select("oid", "anchor", F.min("oid").over(same).alias("low"), F.max("oid").over(same).alias("high")).where("low <> high")
-    else:
-        rows = rows.select("oid", "anchor", F.sum("n").over(same).alias("n")).where("n > 1")
-    return save(rows.groupBy("oid").agg(F.collect_set("anchor").alias("seeds")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        slots, times = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.zeros(1 << SLOT_BITS, dtype=np.int8)
+        for batch in sliced(batches, 256):
+            found = anchors(batch.column("text").to_pylist())
+            unique = [np.unique(x, return_counts=True) for _, x in found]
+            flat = np.concatenate([x for x, _ in unique]) if found else np.zeros(0, np.uint64)
+            again = (np.concatenate([n for _, n in unique]) if found else np.zeros(0, np.int64)) > 1
+            row = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for x, _ in unique])
+            order = np.argsort(flat, kind="stable")
+            flat, row, again = flat[order], row[order], again[order]
+            new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+            first = np.flatnonzero(new)
+            rank = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
+            slot = (flat[first] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            before = np.where(slots[slot] == flat[first], times[slot], 0)
+            count = np.diff(np.append(first, len(flat)))
+            slots[slot], times[slot] = flat[first], np.minimum(before + count, 2)
+            group = np.cumsum(new) - 1
+            sure = ((before + count)[group] > 1) | (again & ~np.bool_(across_documents))
+            key = np.where(before[group] + rank < 2, flat, mix(row.astype(np.uint64) ^ flat, 11))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("oid").take(take), batch.column("tid").take(take), pa.array(flat.view(np.int64)), pa.array(key.view(np.int64)), pa.array(sure)], names=["oid", "tid", "anchor", "key", "sure"])
+
+    rows = reps.select(*ID, "text").mapInArrow(run, "oid long, tid long, anchor long, key long, sure boolean")
+    same = Window.partitionBy("key")
+    several = F.min("oid").over(same) != F.max("oid").over(same) if across_documents else F.count("*").over(same) > 1
+    return save(rows.withColumn("recurs", F.col("sure") | several).where("recurs").select(*ID, "anchor"))
+
+
+def frequent(again: DataFrame) -> set[int]:
+    """Anchors in more documents than OFTEN and than a millionth of all places: a million at most."""
+    least = max(OFTEN, again.count() // 1_000_000)
+    return {r["anchor"] for r in again.groupBy("anchor").count().where(F.col("count") > least).select("anchor").collect()}
+
+
+def seeded(reps: DataFrame, again: DataFrame) -> DataFrame:
+    """oid, tid, text and seeds (the recurring anchors) of the documents that have any."""
+    maybe, _ = parted(reps, again)
+    return maybe.select(*ID, "text").join(again.groupBy(*ID).agg(F.collect_set("anchor").alias("seeds")), ID)
+
+
+def grouped(batches, names: list[str], rows: int):
+    """Lists of rows (tuples of these columns) of batches that are sorted by the first, of about ``rows``, never parting equals."""
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        cut = len(held)
+        while cut and held[cut - 1][0] == held[-1][0]:
+            cut -= 1
+        if cut >= rows:
+            yield held[:cut]
+            held = held[cut:]
+    if held:
+        yield held
 
 
 def without(x: DataFrame, ranges: DataFrame, cut: Callable, columns: str) -> DataFrame:
@@ -63,9 +130,10 @@ def without(x: DataFrame, ranges: DataFrame, cut: Callable, columns: str) -> Dat
 
     ranges: oid, tid, start, end, any number for a document, overlapping or not.
     """
-    small_batches(x.sparkSession, 256)
-    grouped = ranges.groupBy(*ID).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = x.join(grouped, ID, "left").select("row", "text", "ranges")
+    grouped = save(ranges.groupBy(*ID).agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    maybe, never = parted(x, grouped)
+    joined = maybe.join(grouped, ID, "left").select("row", "text", "ranges")
+    joined = joined.unionByName(never.select("row", "text", F.array().cast(grouped.schema["ranges"].dataType).alias("ranges")))
     names = [c.split()[0] for c in columns.split(",")]
     row_type = joined.schema["row"].dataType.simpleString()
     schema = f"row {row_type}, {columns}"
@@ -75,7 +143,7 @@ def without(x: DataFrame, ranges: DataFrame, cut: Callable, columns: str) -> Dat
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out = []
             ranges = batch.column("ranges")
             ends = ranges.values.field("end").to_numpy(zero_copy_only=False)
@@ -101,15 +169,3 @@ def merged(ranges, length: int):
     inside = np.concatenate([[0], (np.cumsum(change)[:length] > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(inside))
     return edges.reshape(-1, 2)
-
-
-def anchor_rows(found: list[tuple]):
-    """A batch of oid, anchor, n from (oid, anchors of a document, with repeats)."""
-    import numpy as np
-    import pyarrow as pa
-
-    unique = [np.unique(x, return_counts=True) for _, x in found]
-    values = np.concatenate([x for x, _ in unique]) if found else np.zeros(0, np.uint64)
-    counts = np.concatenate([n for _, n in unique]) if found else np.zeros(0, np.int64)
-    owners = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for x, _ in unique])
-    return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["oid", "anchor", "n"])

@@ -6,6 +6,10 @@ partition, in blocks, and a block is sorted deep-shallow: multikey quicksort on
 a shallow depth, then blind tries for groups whose common prefix is longer.  In the order, runs with a
 common prefix of a whole window are equal strings, and a suffix repeats if its run has a smaller id.
 
+A task sends the same bytes around an anchor only with an id smaller than it sent before, as else they are known to
+be repeated.  Anchors that occur very often are not sorted as one group: each window that they are the anchor
+of is a group by itself.
+
 Texts are UTF-8 bytes; null is empty.  Documents equal as texts repeat the one with the smallest id
 wholly, if as long as a window.  Rows with equal ids are no repeats of each other; a null id is smaller
 than any other.  An empty table has an empty result.
@@ -16,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
-from .repeats import anchor_rows, copies, identified, merged, representatives, seeds, without
+from .common import save, sliced
+from .repeats import copies, frequent, grouped, identified, merged, recurring, representatives, seeded, without
 from .rolling import blocks, long_windows, minimizers, mix
 
 ANCHOR = 20
-#: Bytes sorted by multikey quicksort; rows of a block; distinct strings beyond which a block is closed.
-SHALLOW, BLOCK_ROWS = 24, 20_000
+#: Bytes sorted by multikey quicksort; its short segments; rows of a block; surroundings that a task remembers.
+SHALLOW, SHORT, BLOCK_ROWS, SEEN_ROWS = 24, 2_048, 20_000, 200_000
 
 
 def _anchored(raw: list[bytes], window: int):
@@ -79,6 +83,34 @@ def blind_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(n: int, character):
+    """The order of n strings by their first SHALLOW bytes; character(rows, d) gives the 8 bytes at d of rows as numbers.
+
+    A segment is parted by a pivot character into smaller, equal and greater; the equal ones go on with the next
+    character.  Short segments are sorted by all characters that are left.
+    """
+    import numpy as np
+
+    order, todo = np.arange(n), [(0, n, 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth >= SHALLOW:
+            continue
+        own = order[lo:hi]
+        if hi - lo <= SHORT:
+            order[lo:hi] = own[np.lexsort([character(own, d) for d in range(SHALLOW - 8, depth - 1, -8)])]
+            continue
+        value = character(own, depth)
+        sample = np.sort(value[:: max(1, len(value) // 31)])
+        pivot = sample[len(sample) // 2]
+        less, greater = value < pivot, value > pivot
+        equal = ~(less | greater)
+        order[lo:hi] = np.concatenate([own[less], own[equal], own[greater]])
+        a, b = lo + int(less.sum()), hi - int(greater.sum())
+        todo += [(lo, a, depth), (a, b, depth + 8), (b, hi, depth)]
+    return order
+
+
 def suffix_runs(text: bytes, starts, length: int):
     """Order of the suffixes of text at starts by their first ``length`` bytes, and for each in that order the number of its run of equals."""
     import numpy as np
@@ -87,18 +119,15 @@ def suffix_runs(text: bytes, starts, length: int):
     flat = np.frombuffer(text + bytes(8), dtype=np.uint8)
     eights = np.lib.stride_tricks.sliding_window_view(flat, 8)
     character = lambda rows, d: np.ascontiguousarray(eights[starts[rows] + d]).view(">u8").ravel().astype(np.uint64)
-    order, run = np.arange(n), np.zeros(n, dtype=np.int64)
-    tied = np.arange(n)
-    for depth in range(0, SHALLOW, 8):  # sort what is still tied by the next character
-        if not len(tied):
-            break
-        value = character(order[tied], depth)
-        by = np.lexsort((value, run[tied]))
-        order[tied], value, own = order[tied][by], value[by], run[tied][by]
-        new = np.append(True, (own[1:] != own[:-1]) | (value[1:] != value[:-1]))
-        run[tied] = tied[new][np.cumsum(new) - 1]
-        same = ~new | np.append(~new[1:], False)
-        tied = tied[same]
+    order = multikey_quicksort(n, character)
+    # A new run starts where the shallow characters differ.
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for depth in range(0, SHALLOW, 8):
+        value = character(order, depth)
+        new[1:] |= value[1:] != value[:-1]
+    run = np.flatnonzero(new)[np.cumsum(new) - 1]
+    tied = np.flatnonzero(~new | np.append(~new[1:], False))
     if not len(tied):
         return order, run
     # Deep: groups that are equal over SHALLOW bytes.  Those equal to the end are runs already.
@@ -136,111 +165,104 @@ def smaller_before(contexts: list[bytes], owners, window: int):
     return out, np.append(0, np.cumsum(counts))
 
 
-def repeated_in_block(rows: list[tuple], window: int, known: dict[bytes, int]) -> list[tuple]:
-    """Ranges (oid, tid, start, end) of rows (anchor, oid, tid, start, context) in order of anchor and oid.
-
-    known: contexts of the first anchor from earlier blocks and their smallest oid; gets those of the last anchor.
-    """
+def repeated_in_block(rows: list[tuple], window: int) -> list[tuple]:
+    """Ranges (oid, tid, start, end) of rows (key, oid, tid, starts, context) in order of key whose strings a smaller oid has."""
     import numpy as np
 
-    first, of_anchor = dict(known), {}
-    for c in known:
-        of_anchor.setdefault(rows[0][0], []).append(c)
-    for anchor, oid, _, _, context in rows:
-        if context not in first:
-            first[context] = oid
-            of_anchor.setdefault(anchor, []).append(context)
-    varied = [c for own in of_anchor.values() if len(own) > 1 for c in own]
-    least, at, index = None, None, {c: i for i, c in enumerate(varied)}
-    if varied:
-        least, at = smaller_before(varied, [first[c] for c in varied], window)
+    first: dict[tuple, int] = {}
+    for key, oid, _, _, context in rows:
+        held = first.get((key, context))
+        if held is None or oid < held:
+            first[key, context] = oid
+    number = {c: i for i, c in enumerate(first)}
+    least, at = smaller_before([c for _, c in first], list(first.values()), window)
+    lowest, highest = np.minimum.reduceat(least, at[:-1]).tolist(), np.maximum.reduceat(least, at[:-1]).tolist()
     out = []
-    for _, oid, tid, start, context in rows:
-        if first[context] < oid:
-            out.append((oid, tid, start, start + len(context)))
-        elif context in index:
-            i = index[context]
-            hit = np.flatnonzero(least[at[i] : at[i + 1]] < oid)
-            if len(hit):
-                gaps = np.flatnonzero(np.diff(hit) > 1)
-                for a, b in zip([hit[0], *hit[gaps + 1]], [*hit[gaps], hit[-1]], strict=True):
-                    out.append((oid, tid, start + int(a), start + int(b) + window))
-    last = rows[-1][0]
-    held = {c: first[c] for c in of_anchor[last]}
-    known.clear()
-    known.update(held)
+    for key, oid, tid, starts, context in rows:
+        i = number[key, context]
+        if lowest[i] >= oid:
+            continue
+        if highest[i] < oid:
+            out += [(oid, tid, s, s + len(context)) for s in starts]
+            continue
+        hit = np.flatnonzero(least[at[i] : at[i + 1]] < oid)
+        gaps = np.flatnonzero(np.diff(hit) > 1)
+        for a, b in zip([hit[0], *hit[gaps + 1]], [*hit[gaps], hit[-1]], strict=True):
+            out += [(oid, tid, s + int(a), s + int(b) + window) for s in starts]
     return out
 
 
+def surroundings(raw: bytes, hashes, place, seeds, often, window: int):
+    """(key, first byte, end) of the windows around each seed of a document: all that it is the anchor of, or if it is frequent one by one."""
+    import numpy as np
+
+    begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    end = np.append(begin[1:], len(place))
+    anchor = hashes[place[begin]].view(np.int64)
+    near = np.isin(anchor, seeds)
+    hot = near & np.isin(anchor, often)
+    near &= ~hot
+    out = [anchor[near], begin[near], end[near] + window - 1]
+    if hot.any():
+        each = np.concatenate([np.arange(a, b) for a, b in zip(begin[hot].tolist(), end[hot].tolist(), strict=True)])
+        key = mix(long_windows(mix(np.frombuffer(raw, dtype=np.uint8).astype(np.uint64), 7), window)[each], 12).view(np.int64)
+        out = [np.concatenate(x) for x in zip(out, [key, each, each + window], strict=True)]
+    return [x.tolist() for x in out]
+
+
 def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
     """oid, tid, start, end in bytes: windows that also start in a document with a smaller oid."""
 
-    def anchors_of(batches):
+    def anchors_of(texts):
         import numpy as np
 
-        for batch in batches:
-            ids = batch.column("oid").to_numpy()
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            yield anchor_rows([(ids[i], hashes[place[np.append(True, place[1:] != place[:-1])]]) for i, hashes, place in _anchored(raw, window)])
+        raw = [t.encode() for t in texts]
+        return [(i, hashes[place[np.append(True, place[1:] != place[:-1])]]) for i, hashes, place in _anchored(raw, window)]
+
+    again = recurring(reps, anchors_of, across_documents=True)
+    often = frequent(again)
+    names = ["key", "oid", "tid", "starts", "end", "context"]
 
     def contexts(batches):
+        """Rows to sort (without an end), and rows that are known to be repeated (without a context)."""
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
-        names = ["anchor", "oid", "tid", "start", "context"]
-        for batch in batches:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+        seen: dict[bytes, int] = {}
+        hot = np.array(sorted(often), dtype=np.int64)
+        for batch in sliced(batches, 256):
             ids, tids, known = batch.column("oid").to_pylist(), batch.column("tid").to_pylist(), batch.column("seeds")
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            columns: list[list] = [[], [], [], [], []]
+            raw, out = [t.encode() for t in batch.column("text").to_pylist()], []
             for i, hashes, place in _anchored(raw, window):
-                begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                end = np.append(begin[1:], len(place))
-                anchor = hashes[place[begin]].view(np.int64)
-                near = np.flatnonzero(np.isin(anchor, known[i].values.to_numpy()))
-                begins, ends, own = begin[near].tolist(), end[near].tolist(), raw[i]
-                columns[0] += anchor[near].tolist()
-                columns[1] += [ids[i]] * len(near)
-                columns[2] += [tids[i]] * len(near)
-                columns[3] += begins
-                columns[4] += [own[a : b + window - 1] for a, b in zip(begins, ends, strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    def sorted_blocks(batches):
+                own: dict[tuple, list[int]] = {}
+                for key, first, end in zip(*surroundings(raw[i], hashes, place, known[i].values.to_numpy(), hot, window), strict=True):
+                    own.setdefault((key, raw[i][first:end]), []).append(first)
+                for (key, context), starts in own.items():
+                    name = hashlib.blake2b(context, digest_size=16, salt=key.to_bytes(8, "little", signed=True)).digest()
+                    least = seen.get(name)
+                    if least is not None and least < ids[i]:
+                        out += [(hash((key, ids[i], s)), ids[i], tids[i], [s], s + len(context), None) for s in starts]
+                        continue
+                    if least is None and len(seen) >= SEEN_ROWS:
+                        seen.clear()
+                    seen[name] = ids[i]
+                    out.append((key, ids[i], tids[i], starts, None, context))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
+
+    def sort(batches):
         import pyarrow as pa
 
-        names, kinds = ["oid", "tid", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        held: list[tuple] = []
-        known: dict[bytes, int] = {}
-
-        def close(rows, carry):
-            if not rows:
-                return None
-            found = repeated_in_block(rows, window, known)
-            if not carry:
-                known.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 4, kinds, strict=True)], names=names)
-
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("anchor", "oid", "tid", "start", "context")), strict=True)
-            if len(held) < BLOCK_ROWS:
-                continue
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:  # the last anchor may go on
-                yield close(held[:cut], carry=False)
-                held = held[cut:]
-            if len(held) >= BLOCK_ROWS:  # one anchor fills a block: its distinct contexts go along
-                yield close(held, carry=True)
-                held = []
-        if held:
-            yield close(held, carry=False)
-
-    found = seeds(reps, anchors_of, across_documents=True)
-    rows = reps.select("oid", "tid", "text").join(found, "oid").mapInArrow(contexts, "anchor long, oid long, tid long, start int, context binary")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "oid")
-    return rows.mapInArrow(sorted_blocks, "oid long, tid long, start int, end int")
+        for rows in grouped(batches, names, BLOCK_ROWS):
+            out = [(r[1], r[2], r[3][0], r[4]) for r in rows if r[5] is None]
+            rest = [(*r[:4], r[5]) for r in rows if r[5] is not None]
+            out += repeated_in_block(rest, window) if rest else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["oid", "tid", "start", "end"])
+
+    rows = seeded(reps, again).mapInArrow(contexts, "key long, oid long, tid long, starts array<int>, end int, context binary")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "oid long, tid long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, as_text: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import save, small_batches, worker_cache
+from .common import save, sliced, worker_cache
 
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
 ROLL, MEAN, MOST = 4, 256, 4_096
@@ -171,15 +171,13 @@ def unpack(payload: bytes):
 
 def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     """Encode docs and write the store; returns its rows, manifests included."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
 
     def encoded(batches):
         import numpy as np
         import pyarrow as pa
 
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches, 256):
             n, keys, lens, payloads = [], [], [], []
             raws = [raw + end for raw in tokens.encode([x or "" for x in batch.column("text").to_pylist()])]
             streams = [np.frombuffer(raw, dtype="<u4") for raw in raws]
@@ -216,7 +214,7 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
 
         shard = TaskContext.get().partitionId()
         start, roots, note = 0, [], None
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out: list[list] = [[] for _ in schema]
             read = zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "n_tokens", "keys", "lens", "payload", "after", "foreign", "lent")), strict=True)
             for uid, doc_id, n_tokens, keys, packed, payload, after, foreign, lent in read:
@@ -250,7 +248,6 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
     Fails at once if a manifest differs from its shard, and when run if a document differs from its recipe.
     checksums: in place of ids their unsigned CRC-32, ``ids_crc32``.
     """
-    small_batches(store.sparkSession, 256)
     broken = [r["shard"] for r in broken_shards(store).collect()]
     if broken:
         raise ValueError(f"shards {sorted(broken)} differ from their manifests")
@@ -265,7 +262,7 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             keys, chunks = [], []
             for r in batch.to_pylist():
                 lens, marks = np.frombuffer(r["lens"], dtype="<u4"), np.frombuffer(r["marks"], dtype=np.uint8)
@@ -279,7 +276,7 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out = []
             read = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "keys", "lens", "marks", "root", "payload", "parts")), strict=True)
             for doc_id, n_tokens, keys, lens, marks, root, payload, parts in read:

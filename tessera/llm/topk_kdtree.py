@@ -8,7 +8,7 @@ equal to the kth score are followed, so ties to the smaller id are exact.
 
 Vectors that are null or hold null or non-finite components, and rows without an id, take no part.
 Vectors of different lengths are not compared.  A query has no candidate with its own id; repeated rows
-are candidates each.  Scores beyond a long's range are cut to it.  An empty table has an empty result.
+are candidates each; queries equal in id and vector are one query, those equal in id alone have a list each.  Scores beyond a long's range are cut to it.  An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import save
 
 SCALE = 1024
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 1_024, 128
-FOUND = "query_id long, vec_id long, score long"
+#: A shard's vectors and numbers, a block's queries, a leaf's vectors, the blocks that a task takes past one tree.
+SHARD_ROWS, SHARD_NUMBERS, BLOCK_ROWS, LEAF_ROWS, BLOCKS_A_TASK = 8_192, 1 << 21, 1_024, 128, 32
+FOUND = "query_id long, uid long, vec_id long, score long"
 
 
 def product(a, b):
@@ -61,14 +62,16 @@ def build(ids, vectors, leaf_rows: int = LEAF_ROWS) -> dict:
     return {"ids": ids[order], "vectors": vectors[order], "low": np.stack(low), "high": np.stack(high), "left": left, "right": right, "lo": lo, "hi": hi}
 
 
-def search(tree: dict, query_ids, queries, kth, k: int) -> list[tuple[int, int, int]]:
-    """(query, vec, score) of up to k best in the tree for each query, of those scoring at least kth (None: any)."""
+def search(tree: dict, query_ids, queries, kth, k: int) -> list[list[tuple[int, int]]]:
+    """For each query up to k best (score, id) in the tree, of those scoring at least kth (None: any), best first."""
     import numpy as np
 
     out = []
     bounds = np.maximum(queries, 0) @ tree["high"].T + np.minimum(queries, 0) @ tree["low"].T
     slack = np.abs(queries) @ np.maximum(np.abs(tree["high"]), np.abs(tree["low"])).T * 1e-12  # for bounds past 2**53
     bounds = bounds + slack
+    most = float(np.abs(queries).max(initial=0)) * float(max(np.abs(tree["high"]).max(initial=0), np.abs(tree["low"]).max(initial=0))) * max(queries.shape[1], 1)
+    exact = (lambda q, v: (v @ q).astype(np.int64)) if most < 2**53 else (lambda q, v: product(q[None], v)[0])
     for i, query in enumerate(query_ids):
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
         floor = -math.inf if kth[i] is None else kth[i]
@@ -82,7 +85,7 @@ def search(tree: dict, query_ids, queries, kth, k: int) -> list[tuple[int, int,
                     heapq.heappush(open_nodes, (-bounds[i, child], child))
                 continue
             rows = slice(tree["lo"][node], tree["hi"][node])
-            scores, ids = product(queries[i : i + 1], tree["vectors"][rows])[0], tree["ids"][rows]
+            scores, ids = exact(queries[i], tree["vectors"][rows]), tree["ids"][rows]
             least = max(floor, best[0][0]) if len(best) == k else floor
             for j in np.flatnonzero((scores >= least) & (ids != query)):
                 item = (int(scores[j]), -int(ids[j]))
@@ -90,7 +93,7 @@ def search(tree: dict, query_ids, queries, kth, k: int) -> list[tuple[int, int,
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
-        out += [(int(query), -v, s) for s, v in best]
+        out.append([(s, -v) for s, v in sorted(best, reverse=True)])
     return out
 
 
@@ -103,12 +106,52 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.withColumn("d", F.size("v"))
 
 
+def integers(vectors, rows: int):
+    import numpy as np
+
+    return np.floor(SCALE * np.array(vectors.tolist(), dtype=np.float64).reshape(rows, -1))
+
+
+def met(trees: DataFrame, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
+    """The blocks of queries (shard, d, block, queries) searched in the trees of their shards: rows of FOUND, and each block again, armed with its kth scores.
+
+    A task takes the blocks of one shard, or where there are many some of them.  The tree comes before them, and is
+    loaded once.
+    """
+    parts = max(1, math.ceil(n_blocks / BLOCKS_A_TASK))
+    rows = trees.select("shard", "d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).cast("long").alias("block"), F.col("tree").alias("content"))
+    rows = rows.unionByName(blocks.select("shard", "d", F.pmod("block", F.lit(parts)).cast("int").alias("part"), "block", F.col("queries").alias("content")))
+
+    def visit(batches):
+        import pyarrow as pa
+
+        place, tree = None, None
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("shard", "d", "part", "block", "content")), strict=True):
+                shard, d, part, block = (x.as_py() for x in row[:4])
+                content = pickle.loads(row[4].as_buffer())
+                if block < 0:
+                    place, tree = (shard, d, part), content
+                    continue
+                ids, uids, v, kth = content
+                found = search(tree, ids, v, kth, k) if place == (shard, d, part) else [[] for _ in ids]
+                flat = [(int(q), int(u), vec, score) for q, u, best in zip(ids, uids, found, strict=True) for score, vec in best]
+                armed = pickle.dumps((ids, uids, v, [best[-1][0] if len(best) == k else old for best, old in zip(found, kth, strict=True)]))
+                columns = list(zip(*flat, strict=True)) if flat else [[]] * 4
+                n = len(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([*c, None], pa.int64()) for c in columns), pa.array([None] * n + [shard], pa.int32()), pa.array([None] * n + [d], pa.int32()), pa.array([None] * n + [block], pa.int64()), pa.array([None] * n + [armed], pa.binary())],
+                    names=["query_id", "uid", "vec_id", "score", "home", "d", "block", "queries"],
+                )
+
+    return rows.repartition("shard", "part").sortWithinPartitions("shard", "d", "part", "block").mapInArrow(visit, f"{FOUND}, home int, d int, block long, queries binary")
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the highest inner product for each query."""
-    spark = vectors.sparkSession
-    small_batches(spark, 4_096)
     points = usable(vectors, id_col, vector_col)
-    n_shards = max(1, math.ceil(points.count() / shard_rows))
+    size = points.agg(F.count("*").alias("rows"), F.sum("d").alias("numbers")).first()
+    n_shards = max(1, math.ceil(size["rows"] / shard_rows), math.ceil((size["numbers"] or 0) / SHARD_NUMBERS))
     # Salted by row, so that repeated ids spread as well.
     points = points.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_shards)).cast("int"))
 
@@ -116,59 +159,30 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         import numpy as np
         import pandas as pd
 
-        v = np.floor(SCALE * np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), -1))
-        tree = build(rows["id"].to_numpy(np.int64), v)
+        tree = build(rows["id"].to_numpy(np.int64), integers(rows["v"], len(rows)))
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "d": [int(rows["d"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
     trees = save(points.groupBy("shard", "d").applyInPandas(plant, "shard int, d int, tree binary"))
 
-    asked = usable(queries, id_col, vector_col)
-    n_blocks = max(1, math.ceil(asked.count() / n_shards / block_rows))
-    asked = asked.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int"))
+    asked = save(usable(queries, id_col, vector_col).distinct().withColumn("uid", F.monotonically_increasing_id()))
+    n_asked = asked.count()
+    n_blocks = max(n_shards, math.ceil(n_asked / block_rows))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "uid"), F.lit(n_blocks)))
 
     def gather(rows):
         import numpy as np
         import pandas as pd
 
-        v = np.floor(SCALE * np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), -1))
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "block": [int(rows["block"].iloc[0])], "d": [int(rows["d"].iloc[0])], "queries": [pickle.dumps((rows["id"].to_numpy(np.int64), v))]})
-
-    blocks = save(asked.groupBy("shard", "block", "d").applyInPandas(gather, "shard int, block int, d int, queries binary"))
-
-    def visit(batches):
-        import pandas as pd
+        content = rows["id"].to_numpy(np.int64), rows["uid"].to_numpy(np.int64), integers(rows["v"], len(rows)), [None] * len(rows)
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "d": [int(rows["d"].iloc[0])], "queries": [pickle.dumps(content)]})
 
-        for rows in batches:
-            for row in rows.itertuples():
-                ids, v = pickle.loads(row.queries)
-                kth = pickle.loads(row.kth) if row.kth else [None] * len(ids)
-                found = search(pickle.loads(row.tree), ids, v, kth, k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    small_batches(spark, 1)  # a row holds a tree and a block of queries
-    first = blocks.join(trees, ["shard", "d"]).withColumn("kth", F.lit(None).cast("binary")).mapInPandas(visit, FOUND)
-    first = save(first)
-    found = first
+    blocks = asked.groupBy("block", "d").applyInPandas(gather, "block long, d int, queries binary")
+    # Each block of queries is searched in one shard first; its kth scores go along to all others.
+    first = save(met(trees, blocks.withColumn("shard", F.pmod("block", F.lit(n_shards)).cast("int")), math.ceil(n_blocks / n_shards), k))
+    found = first.where(F.col("queries").isNull()).select("query_id", "uid", "vec_id", "score")
     if n_shards > 1:
-        # Each query takes the kth score of its first shard along to the others.
-        kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-        kth = kth.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(n_shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks)).cast("int"))
-        kth = kth.groupBy("shard", "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("known"))
-
-        def attach(batches):
-            import pandas as pd
-
-            for rows in batches:
-                kths = []
-                for row in rows.itertuples():
-                    ids, _ = pickle.loads(row.queries)
-                    known = dict(row.known) if row.known is not None else {}
-                    kths.append(pickle.dumps([None if (x := known.get(int(i))) is None or x != x else int(x) for i in ids]))
-                yield pd.DataFrame({"shard": rows["shard"], "block": rows["block"], "d": rows["d"], "queries": rows["queries"], "kth": kths})
-
-        armed = save(blocks.join(kth, ["shard", "block"], "left").mapInPandas(attach, "shard int, block int, d int, queries binary, kth binary"))
-        elsewhere = armed.withColumnRenamed("shard", "home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where("shard <> home")
-        found = first.unionByName(elsewhere.join(trees, ["shard", "d"]).select("tree", "queries", "kth").mapInPandas(visit, FOUND))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        armed = first.where(F.col("queries").isNotNull()).select("home", "d", "block", "queries", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")).where("shard <> home")
+        rest = met(trees, armed, n_blocks, k).where(F.col("queries").isNull())
+        found = found.unionByName(rest.select("query_id", "uid", "vec_id", "score"))
+    best = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
