@@ -1,19 +1,30 @@
 """URL filters: a rule list first, then association rules mined from labelled URLs by FP-growth.
 
-Nulls and odd URLs: without ``://`` (or null) host and path are empty, no rule fits, and there are
+Mined rules are pruned by support, confidence and redundancy, and matched by an inverted index of their rarest
+tokens.  Nulls and odd URLs: without ``://`` (or null) host and path are empty, no rule fits, and there are
 no tokens, so the verdict is the default.  Repeated rows give repeated results; an empty table an empty one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 #: (verdict, host and path prefix); the longest that fits decides.
 Rule = tuple[str, str]
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LABEL = "label\x00"
+#: A rule holds in so many labelled URLs at least, however few there are.
+LEAST_ROWS = 5
+#: Baskets with more tokens (after those that need no combinations) are mined in parts.
+WIDTH = 12
+#: Tables of up to this many tokens or rules are sent to all executors; larger ones are joined by shuffle.
+BROADCAST_RULES = 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,47 +56,92 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def mine(items: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """Rules (rule_id, antecedent, key, verdict, confidence) from items(tokens, label); label may be null.
+def mine(items: DataFrame, min_support: float, min_confidence: float, longest: int = 3) -> DataFrame:
+    """Rules (antecedent, key, verdict, confidence, support) from items(tokens, label).
 
-    Unlabelled URLs count against a rule: confidence is the share of all URLs with the antecedent that
-    carry the label.  A rule is dropped if a part of its antecedent gives the same verdict as surely.
-    At most 2**tokens / min_support itemsets are frequent, whatever the size of the input.
+    Only labelled URLs train.  A rule's support is how many of them hold its antecedent of up to ``longest``
+    tokens and carry its verdict; its confidence is their share of those that hold the antecedent.  A rule is dropped
+    if a part of its antecedent gives the same verdict as surely.  So a token that only goes with one label is
+    a rule by itself and needs no combinations, and of tokens that occur in just the same URLs, but under several
+    labels, the first stands for all.  key is the antecedent's rarest token.
     """
-    baskets = items.where(F.size("tokens") > 0).select(F.when(F.col("label").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-    found = found.select(F.array_sort("antecedent").alias("antecedent"), F.element_at(F.split(F.element_at("consequent", 1), "\x00"), 2).alias("verdict"), "confidence")
-    # A token that fewer frequent itemsets hold is the rarer one: it keys the rule in the inverted index.
-    singles = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    short = found.select(F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.element_at("antecedent", 1).alias("first"))
+    labelled = save(items.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select("tokens", "label", F.monotonically_increasing_id().alias("id")))
+    need = max(LEAST_ROWS, math.ceil(min_support * labelled.count()))
+    alone = labelled.select(F.explode("tokens").alias("token"), "label", "id").groupBy("token", "label").agg(F.count("*").alias("support"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("where"))
+    places = F.sort_array(F.collect_list(F.struct("label", "where")))  # one entry a label
+    tokens_ = alone.groupBy("token").agg(F.sum("support").alias("rows"), F.max("support").alias("most"), places.alias("places"))
+    tokens_ = save(tokens_.where(F.col("most") >= need))
+    mixed = save(tokens_.where("most < rows").groupBy("places").agg(F.min("token").alias("token"), F.first("rows").alias("rows")).select("token", "rows"))
+    small = F.broadcast(mixed) if mixed.count() <= BROADCAST_RULES else mixed
+
+    slim = labelled.select("id", "label", F.explode("tokens").alias("token")).join(small.select("token"), "token").groupBy("id", "label").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    slim = save(slim.groupBy("tokens", "label").agg(F.count("*").alias("n")))
+    baskets = slim.select(F.explode(F.array_repeat(F.concat(F.array(F.concat(F.lit(LABEL), "label")), "tokens"), F.col("n").cast("int"))).alias("items"))
+    baskets = save(baskets.select(F.explode(narrow(F.col("items"))).alias("items")))
+    n_baskets = max(baskets.count(), 1)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / n_baskets)).fit(baskets)
+    sets = model.freqItemsets.where((F.size("items") >= 3) & (F.size("items") <= longest + 1) & F.exists("items", lambda x: x.startswith(LABEL)))
+    sets = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("antecedent")).distinct()
+
+    # Exact counts, as a wide basket was counted in parts: sets meet baskets at their rarest token.
+    sets = rarest(sets, small)
+    several = slim.withColumn("key", F.explode("tokens")).join(F.broadcast(sets) if sets.count() <= BROADCAST_RULES else sets, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    counted = several.groupBy("antecedent", "key", "label").agg(F.sum("n").alias("support"))
+    counted = counted.unionByName(alone.join(F.broadcast(tokens_.select("token")) if tokens_.count() <= BROADCAST_RULES else tokens_.select("token"), "token").select(F.array("token").alias("antecedent"), F.col("token").alias("key"), "label", "support"))
+    rows = counted.groupBy("antecedent").agg(F.sum("support").alias("rows"))
+    found = counted.join(rows, "antecedent").withColumn("confidence", F.col("support") / F.col("rows"))
+    found = save(found.where((F.col("support") >= need) & (F.col("confidence") >= min_confidence)).select("antecedent", "key", F.col("label").alias("verdict"), "confidence", "support"))
+
+    parts = found.select(F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.element_at("antecedent", 1).alias("first"))
     long = found.withColumn("first", F.explode("antecedent"))
-    redundant = long.join(short, "first").where((F.size("part") < F.size("antecedent")) & (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
-    found = found.join(redundant.select("antecedent", "verdict").distinct(), ["antecedent", "verdict"], "left_anti")
-    keyed = found.withColumn("token", F.explode("antecedent")).join(singles, "token")
-    return keyed.groupBy("antecedent", "verdict", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
+    redundant = long.join(parts, "first").where((F.size("part") < F.size("antecedent")) & (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
+    return save(found.join(redundant.select("antecedent", "verdict").distinct(), ["antecedent", "verdict"], "left_anti"))
+
+
+def narrow(items: Column) -> Column:
+    """Baskets of at most WIDTH tokens beside the label, the first item: any three tokens of a wide basket are in one of them."""
+    block = WIDTH // 3
+    own, label = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(1))), F.slice(items, 1, 1)
+    last = F.ceil(F.size(own) / block).cast("int") - 1
+    part = lambda k: F.slice(own, k * block + 1, F.lit(block))
+    threes = F.transform(
+        F.sequence(F.lit(0), last - 2),
+        lambda i: F.flatten(F.transform(F.sequence(i + 1, last - 1), lambda j: F.transform(F.sequence(j + 1, last), lambda k: F.concat(label, part(i), part(j), part(k))))),
+    )
+    return F.when(F.size(items) <= WIDTH + 1, F.array(items)).otherwise(F.flatten(threes))
+
+
+def rarest(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """sets(antecedent) with key, the token that fewest rows hold."""
+    each = sets.withColumn("token", F.explode("antecedent")).join(counts, "token")
+    return save(each.groupBy("antecedent").agg(F.min_by("token", F.struct("rows", "token")).alias("key")))
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow") -> DataFrame:
-    """Judge every URL: page id, host, path, rule, verdict, by_method.
+    """Judge every URL: page id, host, path, rule, verdict, by_method (true if a mined rule decided).
 
     labels(page id, label) trains the mined rules; without it, the verdicts of the rule list are the labels.
-    A URL that no listed rule fits gets the verdict of the surest mined rule (ties: allow), else the default.
+    A URL that no listed rule fits gets the verdict of the surest mined rule (ties: more support, then the smaller
+    verdict, so allow before block), else the default.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
-    judged = parsed.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
+    judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     if labels is None:
-        items = judged.select("tokens", F.col("listed").alias("label"))
+        items = judged.where(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("label"))
     else:
         labels = labels.select(F.col(labels.columns[0]).alias("page_id"), F.col(labels.columns[1]).cast("string").alias("label"))
-        items = judged.join(labels, "page_id", "left").select("tokens", "label")
+        items = judged.join(labels, "page_id").select("tokens", "label")
     mined = mine(items, min_support, min_confidence)
+    mined = F.broadcast(mined) if mined.count() <= BROADCAST_RULES else mined
     # Distinct token sets are few beside the URLs; each is matched once through the index of rule keys.
-    open_sets = judged.where(F.col("listed").isNull()).select("tokens").distinct()
-    hits = open_sets.withColumn("key", F.explode("tokens")).join(mined, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = hits.groupBy("tokens").agg(F.min_by("verdict", F.struct(-F.col("confidence"), F.col("verdict"))).alias("learned"))
-    out = judged.join(best, "tokens", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "learned", F.lit(default)).alias("verdict"), F.col("listed").isNull().alias("by_method"))
+    unlisted = judged.where(F.col("listed").isNull())
+    sets = unlisted.select("tokens").distinct()
+    hits = sets.withColumn("key", F.explode("tokens")).join(mined, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    best = hits.groupBy("tokens").agg(F.min_by("verdict", F.struct(-F.col("confidence"), -F.col("support"), F.col("verdict"))).alias("learned"))
+    result = ["page_id", "host", "path", "rule"]
+    by_list = judged.where(F.col("listed").isNotNull()).select(*result, F.col("listed").alias("verdict"), F.lit(False).alias("by_method"))
+    by_rule = unlisted.join(best, "tokens", "left").select(*result, F.coalesce("learned", F.lit(default)).alias("verdict"), F.col("learned").isNotNull().alias("by_method"))
+    return by_list.unionByName(by_rule)
