@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_codec, jaccard_join, ppm_language, quality_rules, source_mix, substring_dedup, suffix_dedup, token_store, topk_kdtree, url_filter
+from tessera.llm import bpe_codec, jaccard_join, ppm_language, quality_rules, repeats, source_mix, substring_dedup, suffix_dedup, token_store, topk_kdtree, url_filter
 from tessera.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,6 +118,44 @@ def test_jaccard_near_copies(spark):
     assert got == dict(enumerate(group))
 
 
+def thue_morse():
+    """Two words of 1,024 letters that polynomial hashes modulo a power of two confuse."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    one, two = thue_morse()
+    table = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(table, 4, 85).collect()} == {1: 1, 2: 2}
+    around = sentence(70, 34)
+    table = spark.createDataFrame([(1, f"{one} {around}"), (2, f"{two} {around}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.digests(table, 35).collect()] == [0, 0]
+
+
+def test_jaccard_verifies_words():
+    base = sentence(71, 60).split()
+    for size, percent in ((1, 80), (4, 85), (5, 80), (9, 50)):
+        for seed in range(12):
+            other, r = list(base), np.random.default_rng(seed)
+            for i in r.integers(0, 60, seed // 2):
+                other[i] = base[int(r.integers(60))]
+            a, b = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (base, other))
+            assert jaccard_join.alike(" ".join(base).encode(), " ".join(other).encode(), size, percent) == (100 * len(a & b) >= percent * len(a | b))
+    many = " ".join(f"w{i}" for i in range(70_000)).encode()
+    assert jaccard_join.alike(many, many + b" x", 5, 80) and not jaccard_join.alike(many, b"w1 w2", 5, 80)
+
+
+def test_jaccard_split_buckets(spark, docs, monkeypatch):
+    want = sorted(map(tuple, jaccard_join.jaccard_groups(docs, 4, 85).collect()))
+    monkeypatch.setattr(jaccard_join, "SPLIT_ROWS", 1)
+    monkeypatch.setattr(jaccard_join, "SPLIT_SHARE", 0)
+    monkeypatch.setattr(jaccard_join, "MAP_BITS", 20)
+    assert sorted(map(tuple, jaccard_join.jaccard_groups(docs, 4, 85).collect())) == want
+
+
 def test_first_of_groups_keeps_other_texts_of_an_id(spark):
     base, other = sentence(21, 90), sentence(22, 90)
     near = base.split()
@@ -155,6 +194,15 @@ def test_quality_order_does_not_matter(docs):
     assert sorted(a) == sorted(b)
 
 
+def test_rules_are_measured(spark, docs):
+    work = F.aggregate(F.split("text", ""), F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, "a", "b")))
+    checks = {"slow": work < 0, "quick": F.col("n_words") < 10_000, "never": F.col("n_words") < 0}
+    facts = quality_rules.measured_rules(docs, checks)
+    assert facts["quick"][0] == 1 and facts["never"][0] == 0 and facts["slow"][0] == 0
+    assert facts["slow"][1] > facts["never"][1]
+    assert quality_rules.ordered(docs, checks)[0] == "quick"
+
+
 def test_topk(spark):
     r = np.random.default_rng(3)
     v = [(i, [float(x) for x in r.normal(size=5)]) for i in range(400)]
@@ -260,10 +308,11 @@ def test_suffix(docs, rows, empty):
         assert "�" not in r["kept"] and r["row"]["kept"] == "clash"
 
 
-def test_suffix_order():
+def test_suffix_order(monkeypatch):
     r = np.random.default_rng(0)
     for _ in range(40):
         parts = [bytes(r.integers(97, 99, r.integers(3, 90)).astype(np.uint8)) for _ in range(3)]
+        monkeypatch.setattr(suffix_dedup, "SHORT", int(r.integers(1, 200)))
         text = b"".join(parts[i] for i in r.integers(0, 3, 12))
         starts = np.arange(len(text) - 49)
         order, run = suffix_dedup.suffix_runs(text, starts, 50)
@@ -274,11 +323,45 @@ def test_suffix_order():
     assert [strings[i] for i in suffix_dedup.blind_order(strings)] == sorted(strings)
 
 
-def test_suffix_blocks_carry_over():
-    rows = [(1, oid, 0, 0, bytes([97 + oid % 3]) * 60) for oid in range(10)]
-    known: dict = {}
-    got = suffix_dedup.repeated_in_block(rows[:4], 50, known) + suffix_dedup.repeated_in_block(rows[4:], 50, known)
-    assert [x[0] for x in got] == list(range(3, 10))
+@pytest.fixture
+def shared_often(spark):
+    """Documents with passages in common, in several places, some copied within a document."""
+    common = [sentence(600 + i, 50) for i in range(4)]
+    rows = []
+    for i in range(40):
+        parts = [sentence(700 + i, 20), common[i % 4], sentence(800 + i, 5 + i), common[(i + 1) % 4][: 40 * i], sentence(900 + i, 3)]
+        if i % 7 == 0:
+            parts += [sentence(10, 30), common[2], common[2]]
+        rows.append((i % 37, " ".join(parts)))
+    return rows
+
+
+def by_force_words(rows, size):
+    words = [words_of(t) for _, t in rows]
+    count = collections.Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    return sorted((i, len(w), len({j for k in range(len(w) - size + 1) if count[tuple(w[k : k + size])] > 1 for j in range(k, k + size)})) for (i, _), w in zip(rows, words))
+
+
+def by_force_bytes(rows, size):
+    raw, first = [(i, t.encode()) for i, t in rows], {}
+    for i, b in raw:
+        for k in range(len(b) - size + 1):
+            first[b[k : k + size]] = min(first.get(b[k : k + size], i), i)
+    return sorted((i, len(b), len({j for k in range(len(b) - size + 1) if first[b[k : k + size]] < i for j in range(k, k + size)})) for i, b in raw)
+
+
+@pytest.mark.parametrize("often, seen", [(10_000, 200_000), (0, 200_000), (3, 2)])
+def test_frequent_seeds(spark, shared_often, monkeypatch, often, seen):
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    monkeypatch.setattr(repeats, "SLOT_BITS", 4 if often else 20)
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "SEEN_ROWS", seen)
+        monkeypatch.setattr(module, "BLOCK_ROWS", 50)
+    table = spark.createDataFrame(shared_often, "doc_id long, text string").repartition(3)
+    got = substring_dedup.digests(table, 35).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, got)) == by_force_words(shared_often, 35)
+    got = suffix_dedup.digests(table, 50).select("doc_id", "n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, got)) == by_force_bytes(shared_often, 50)
 
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "org/es/")]
@@ -294,11 +377,63 @@ def test_urls(spark):
     assert [got[i]["rule"] for i in range(12)] == ["example.com/en/7", "com/en/", "com/en/", None, "org/es/", *[None] * 7]
     assert [got[i]["verdict"] for i in range(7)] == ["allow", "block", "block", "allow", "block", "allow", "allow"]
     labels = spark.createDataFrame([(12 + i, "block") for i in range(0, 60)] + [(72 + i, "allow") for i in range(0, 50)], "id long, label string")
-    learned = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, RULES, labels, min_support=0.1).collect()}
+    learned = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, RULES, labels).collect()}
     assert all(learned[12 + i] == "block" for i in range(60)) and all(learned[72 + i] == "allow" for i in range(60))
     assert url_filter.url_filter(pages.limit(0), RULES).count() == 0
 
 
+def mined_by_force(baskets, min_support, min_confidence, longest):
+    """Rules by their definition: antecedent -> (verdict, confidence, support)."""
+    need = max(url_filter.LEAST_ROWS, int(np.ceil(min_support * len(baskets))))
+    where = collections.defaultdict(list)
+    for i, (tokens, _) in enumerate(baskets):
+        for t in tokens:
+            where[t].append(i)
+    stands = {}
+    for t in sorted(where):
+        if len({baskets[i][1] for i in where[t]}) > 1:
+            stands.setdefault(tuple(where[t]), t)
+    alike = {t for t in where if len({baskets[i][1] for i in where[t]}) > 1 and stands[tuple(where[t])] != t}
+    found = {}
+    every = {frozenset(a) for tokens, _ in baskets for k in range(1, longest + 1) for a in itertools.combinations(tokens, k)}
+    for a in every:
+        rows = [label for tokens, label in baskets if a <= set(tokens)]
+        for label in set(rows):
+            n = rows.count(label)
+            if n >= need and n / len(rows) >= min_confidence:
+                found[a, label] = n / len(rows), n
+    return {(a, v): x for (a, v), x in found.items() if not (len(a) > 1 and a & alike) and not any(p < a and u == v and y[0] >= x[0] for (p, u), y in found.items())}
+
+
+@pytest.mark.parametrize("width", [12, 3])
+def test_mined_rules(spark, monkeypatch, width):
+    monkeypatch.setattr(url_filter, "WIDTH", width)
+    r = np.random.default_rng(8)
+    names, baskets = list("abcdefg"), []
+    for _ in range(300):
+        tokens = sorted({names[i] for i in r.integers(0, 7, 5)} | {"always", "too"})
+        block = {"a", "b"} <= set(tokens) or "c" in tokens and r.random() < 0.93 or r.random() < 0.1
+        baskets.append((tokens, "block" if block else "allow"))
+    baskets += [(["pure", "a"], "allow")] * 9 + [(["rare"], "block")] * 4
+    items = spark.createDataFrame([*baskets, (["a"], None), ([], "block")], "tokens array<string>, label string")
+    got = {(frozenset(x["antecedent"]), x["verdict"]): (x["confidence"], x["support"]) for x in url_filter.mine(items, 0.02, 0.85).collect()}
+    want = mined_by_force(baskets, 0.02 * len(baskets) / (len(baskets) + 0), 0.85, 3)
+    if width == 3:  # a wide basket is cut by single tokens there: all of three are still met
+        assert all(len(a) <= 3 for a, _ in got)
+    assert {k: (pytest.approx(c), n) for k, (c, n) in got.items()} == want
+    assert any(len(a) > 1 for a, _ in want) and (frozenset(["pure"]), "allow") in want
+
+
+def test_urls_with_many_keys(spark):
+    query = "&".join(f"k{i}=1" for i in range(40))
+    urls = [f"http://a{i % 3}.com/en/{i}" for i in range(100)] + [f"http://b.com/en/x?{query}"] * 8
+    urls += [f"http://example.com/en/7{i}?{query}" for i in range(7)] + [f"http://b.example/en/{i}" for i in range(9)]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.url_filter(table, RULES).collect()}
+    assert all(got[i]["verdict"] == "block" and not got[i]["by_method"] for i in range(108))
+    assert all(r["by_method"] for r in got.values() if r["page_id"] >= 115)
+
+
 def test_token_store(spark, docs, rows, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
