@@ -1,21 +1,16 @@
-"""Cleaning and standardising cell values, as Column expressions.
-
-Built-in functions only, but for two exact variants that Spark has no function for (Unicode
-decomposition beyond the Latin blocks, one-pass spelling correction): those are Arrow UDFs.
-"""
+"""Cleaning and standardising cell values, as Column expressions of built-in functions only."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: White space, the Unicode kinds included: inside a character class, and as one.
+SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+BLANK = f"[{SPACES}]"
 #: Spacing characters that are diacritics, besides combining marks.
 SPACING_MARKS = "^`\u00a8\u00b4\u00af\u00b7\u00b8"
 MARKS = r"[\p{Mn}\^`\u00A8\u00B4\u00AF\u00B7\u00B8]"
@@ -60,17 +55,28 @@ MONTH_FIRST = {
 }
 
 
-def _latin() -> tuple[str, str]:
-    """Precomposed letters of the Latin blocks and their base letters."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if base != chr(code) and len(base) == 1:
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Letters whose canonical decomposition holds a diacritic, and what is left of each without it, by Unicode's own tables.
+
+    Letters and their counterparts (at the end letters without one, to be deleted), and those that leave several.
+    """
+    one, none, several = {}, "", {}
+    for code in range(0x110000):
+        letter = chr(code)
+        parts = unicodedata.normalize("NFD", letter)
+        left = [c for c in parts if unicodedata.category(c) != "Mn" and c not in SPACING_MARKS]
+        if parts != letter and len(left) < len(parts):
+            plain = unicodedata.normalize("NFC", "".join(left))
+            if len(plain) > 1:
+                several[letter] = plain
+            elif plain:
+                one[letter] = plain
+            else:
+                none += letter
+    return "".join(one) + none, "".join(one.values()), several
 
 
-LATIN = _latin()
+LETTERS, PLAIN, SEVERAL = _plain_letters()
 
 
 def bound(v: Column, f: Callable[[Column], Column]) -> Column:
@@ -85,43 +91,13 @@ def squeezed(v: Column) -> Column:
     return F.trim(F.regexp_replace(v, BLANK + "+", " "))
 
 
-def _composed() -> str:
-    """A character class of the letters beyond LATIN whose canonical decomposition holds a diacritic."""
-    codes = []
-    for code in range(0x110000):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if parts != chr(code) and chr(code) not in LATIN[0] and any(unicodedata.category(c) == "Mn" or c in SPACING_MARKS for c in parts):
-            codes.append(code)
-    return "[" + "".join(f"\\x{{{c:X}}}" for c in codes) + "]"
-
-
-COMPOSED = _composed()
-
-
 def clean(v: Column) -> Column:
-    """Trim, collapse white space, drop diacritics; null-like values become empty.
-
-    Only values with composed letters beyond the Latin blocks leave the JVM.
-    """
-    plain = F.regexp_replace(F.translate(squeezed(v), *LATIN), MARKS, "")
-    fast = bound(plain, lambda p: F.when(F.lower(p).isin("null", "n/a") | p.isNull(), F.lit("")).otherwise(p))
-    other = v.rlike(COMPOSED)
-    return F.when(other, clean_exact(F.when(other, v))).otherwise(fast)
-
-
-@F.pandas_udf(StringType())
-def clean_exact(values: pd.Series) -> pd.Series:
-    """clean() with full canonical decomposition, for scripts beyond Latin."""
-    blank, marks = re.compile(BLANK + "+"), set(SPACING_MARKS)
-
-    def one(v):
-        if v is None:
-            return ""
-        plain = "".join(c for c in unicodedata.normalize("NFD", blank.sub(" ", v).strip()) if unicodedata.category(c) != "Mn" and c not in marks)
-        plain = unicodedata.normalize("NFC", plain)
-        return "" if plain.lower() in ("null", "n/a") else plain
-
-    return values.map(one)
+    """Trim, collapse white space, drop diacritics; null-like values become empty."""
+    v = squeezed(v)
+    for letter, several in SEVERAL.items():
+        v = F.replace(v, F.lit(letter), F.lit(several))
+    plain = F.regexp_replace(F.translate(v, LETTERS, PLAIN), MARKS, "")
+    return bound(plain, lambda p: F.when(F.lower(p).isin("null", "n/a") | p.isNull(), F.lit("")).otherwise(p))
 
 
 def title(v: Column) -> Column:
@@ -140,10 +116,10 @@ def sentences(v: Column) -> Column:
     """Sentence case after each full stop, exclamation or question mark that white space follows."""
 
     def one(part: Column) -> Column:
-        space = F.regexp_extract(part, r"^\s*", 0)
-        return F.concat(space, title(F.regexp_replace(part, r"^\s+", "")))
+        space = F.regexp_extract(part, f"^{BLANK}*", 0)
+        return F.concat(space, title(F.regexp_replace(part, f"^{BLANK}+", "")))
 
-    return F.array_join(F.transform(F.split(v, r"(?<=[.!?])(?=\s)"), one), "")
+    return F.array_join(F.transform(F.split(v, f"(?<=[.!?])(?={BLANK})"), one), "")
 
 
 def capitalization(v: Column) -> Column:
@@ -152,7 +128,7 @@ def capitalization(v: Column) -> Column:
 
 
 def _capitalization(v: Column) -> Column:
-    letter_words = v.rlike(r"^[a-zA-Z\s]+$") & v.contains(" ")
+    letter_words = v.rlike(f"^[a-zA-Z{SPACES}]+$") & v.contains(" ")
     camel = v.rlike(r"^[a-z]") & v.rlike("[A-Z]") & v.rlike(r"^[a-zA-Z0-9_]+$")
     head = F.regexp_extract(v, r"(?s)^([^:\-=]*)(.*)$", 1)
     tail = F.regexp_extract(v, r"(?s)^([^:\-=]*)(.*)$", 2)
@@ -176,23 +152,19 @@ def spelling_chain(v: Column) -> Column:
     return v
 
 
-@F.pandas_udf(StringType())
-def _spelled(values: pd.Series) -> pd.Series:
-    pattern = re.compile("|".join(SPELLING), re.IGNORECASE)
-
-    def cased(m: re.Match) -> str:
-        found, right = m[0], SPELLING[m[0].lower()]
-        if found == found.upper():
-            return right.upper()
-        return right[0].upper() + right[1:] if found == found.capitalize() else right
-
-    return values.map(lambda v: None if v is None else pattern.sub(cased, v))
+def spelling(v: Column) -> Column:
+    """Common misspellings, inside words too, in the case they stand in, in one pass."""
+    any_wrong = "|".join(SPELLING)
+    right = F.create_map(*[F.lit(x) for pair in SPELLING.items() for x in pair])
 
+    def cased(part: Column) -> Column:
+        found = F.element_at(right, F.lower(part))
+        first = F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, F.lit(2), F.length(found)))
+        return F.when(found.isNull(), part).when(part == F.upper(part), F.upper(found)).when(part == title(part), first).otherwise(found)
 
-def spelling(v: Column) -> Column:
-    """Common misspellings, inside words too, in the case they stand in; only values that hold one leave the JVM."""
-    wrong = v.rlike("(?i)" + "|".join(SPELLING))
-    return F.coalesce(_spelled(F.when(wrong, v)), v)
+    # Misspellings and what is between them, in turn.
+    parts = F.regexp_extract_all(v, F.lit(f"(?is){any_wrong}|(?:(?!{any_wrong}).)+"), F.lit(0))
+    return F.when(v.rlike(f"(?i){any_wrong}"), F.array_join(F.transform(parts, cased), "")).otherwise(v)
 
 
 def date(v: Column, as_of_year: int) -> Column:
@@ -201,36 +173,45 @@ def date(v: Column, as_of_year: int) -> Column:
 
 
 def _date(v: Column, as_of_year: int) -> Column:
-    first = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
-    number = lambda pattern, k: F.regexp_extract(v, pattern, k).try_cast("int")
-    day, month, year = number(first, 1), number(first, 2), number(first, 3)
     century = as_of_year // 100 * 100
-    short = F.length(F.regexp_extract(v, first, 3)) == 2
-    year = F.when(short, F.when(year > as_of_year % 100 + 20, year + (century - 100)).otherwise(year + century)).otherwise(year)
-    iso = lambda y, m, d: F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    real = lambda x: F.when(F.try_to_date(x, "yyyy-MM-dd").isNotNull(), x)
-    last = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$"
+
+    def iso(year: Column, month: Column, day: Column) -> Column:
+        """Null if there is no such day."""
+        two = lambda x: F.lpad(x, 2, "0")
+        text = F.concat_ws("-", F.lpad(year, 4, "0"), two(month), two(day))
+        return bound(text, lambda x: F.when((month.cast("int") <= 12) & F.try_to_date(x, "yyyy-MM-dd").isNotNull(), x))
+
+    def full(year: Column) -> Column:
+        short = F.length(year) == 2
+        since = F.when(year.cast("int") > as_of_year % 100 + 20, century - 100).otherwise(century)
+        return F.when(short, (year.cast("int") + since).cast("string")).otherwise(year)
+
+    day_first = lambda p: iso(full(F.get(p, F.lit(2))), F.get(p, F.lit(1)), F.get(p, F.lit(0)))
+    year_first = lambda p: iso(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))
+    parts = F.split(v, r"[/.\-]")
     known = F.create_map(*[F.lit(x) for pair in MONTH_FIRST.items() for x in pair])
     return (
         F.when((F.length(v) < 6) | ~v.rlike(r"\d"), v)
         .when(v.isin(list(MONTH_FIRST)), F.element_at(known, v))
-        .when(v.rlike(first), F.coalesce(F.when(month <= 12, real(iso(year, month, day))), v))
-        .when(v.rlike(last), F.coalesce(real(iso(number(last, 1), number(last, 2), number(last, 3))), v))
+        .when(v.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}$"), F.coalesce(bound(parts, day_first), v))
+        .when(v.rlike(r"^\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}$"), F.coalesce(bound(parts, year_first), v))
         .otherwise(v)
     )
 
 
 def _plain_number(v: Column) -> Column:
-    bare = F.regexp_replace(v, r"\s+", "")
-    sign = F.when(bare.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(bare, "^-", "")
-    after_last = F.length(F.regexp_extract(digits, r"[.,]([^.,]*)$", 1))
-    count = F.length(F.regexp_replace(digits, "[^.,]", ""))
-    whole = F.regexp_replace(F.regexp_extract(digits, r"^(.*)[.,][^.,]*$", 1), "[.,]", "")
-    decimal = F.concat(whole, F.lit("."), F.regexp_extract(digits, r"[.,]([^.,]*)$", 1))
-    value = F.when(count == 0, digits).when((count == 1) | after_last.isin(2, 3), decimal).otherwise(F.regexp_replace(digits, "[.,]", ""))
-    kept = (F.trim(v) == "") | v.rlike(r"^\d+[.,]$") | ~v.rlike(r"^[+-]?[\d.,\s]+$") | v.rlike(r"^[.,]")
-    return F.when(kept, v).otherwise(F.concat(sign, value))
+    def value(digits: Column) -> Column:
+        last = F.substring_index(F.translate(digits, ",", "."), ".", -1)
+        plain = F.translate(digits, ".,", "")
+        separators = F.length(digits) - F.length(plain)
+        decimal = F.concat(F.substring(plain, F.lit(1), F.length(plain) - F.length(last)), F.lit("."), last)
+        return F.when((separators == 1) | (separators > 1) & F.length(last).isin(2, 3), decimal).otherwise(plain)
+
+    def signed(bare: Column) -> Column:
+        return F.when(bare.startswith("-"), F.concat(F.lit("-"), bound(F.substring(bare, F.lit(2), F.length(bare)), value))).otherwise(bound(bare, value))
+
+    kept = v.rlike(f"^{BLANK}*$") | v.rlike(r"^\d+[.,]$") | ~v.rlike(f"^[+-]?[\\d.,{SPACES}]+$") | v.rlike(r"^[.,]")
+    return F.when(kept, v).otherwise(bound(F.regexp_replace(v, BLANK + "+", ""), signed))
 
 
 def number(v: Column) -> Column:
@@ -239,8 +220,8 @@ def number(v: Column) -> Column:
 
 
 def _number(v: Column) -> Column:
-    exponent = r"^([+-]?[\d.,\s]+)([eE][+-]?\d+)$"
-    return F.when(v.rlike(exponent), F.concat(_plain_number(F.regexp_extract(v, exponent, 1)), F.regexp_extract(v, exponent, 2))).otherwise(_plain_number(v))
+    exponent = f"^([+-]?[\\d.,{SPACES}]+)([eE][+-]?\\d+)$"
+    return F.when(v.rlike(exponent), F.concat(bound(F.regexp_extract(v, exponent, 1), _plain_number), F.regexp_extract(v, exponent, 2))).otherwise(_plain_number(v))
 
 
 def correct(v: Column, as_of_year: int) -> Column:

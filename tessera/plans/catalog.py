@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..config import Config
 from ..functions import seeds, similarity, text
 from ..operators import column_types, mapping, relations, search, selection, uri
 from ..sources import tables
-from ..sources.scratch import stored
+from ..sources.scratch import new_folder, stored
 from . import fixtures, oracles
 
 CONFIG = Config(as_of_year=2024, correct=False)
@@ -34,46 +35,46 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Steps:
-    """The stages of an annotation of the fixture tables, each built when asked for."""
+    """The stages of an annotation of the fixture tables, each built once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.kb = fixtures.knowledge_base(spark, sf_dir).for_config(CONFIG)
         self.cells = fixtures.cells(spark, sf_dir)
         self.mapping, self.relations = seeds.type_mapping(spark), seeds.type_relations(spark)
 
-    @property
+    @cached_property
     def hits(self):
         return search.lookup(search.searchable(self.cells, CONFIG), self.kb, CONFIG)
 
-    @property
+    @cached_property
     def top(self):
         return stored(search.ranked(search.dedupe(self.hits), CONFIG))
 
-    @property
+    @cached_property
     def candidates(self):
         return stored(search.search_entities(self.cells, self.kb, CONFIG))
 
-    @property
+    @cached_property
     def mapped(self):
         return mapping.enhance(self.candidates, self.mapping)
 
-    @property
+    @cached_property
     def scored(self):
         return stored(uri.boost_by_uri(self.mapped, CONFIG))
 
-    @property
+    @cached_property
     def votes(self):
         return column_types.type_votes(self.scored, self.kb.parents, CONFIG)
 
-    @property
+    @cached_property
     def leading(self):
         return stored(column_types.leading_types(self.votes, CONFIG))
 
-    @property
+    @cached_property
     def preferred(self):
         return column_types.prefer_wikidata(self.leading, self.mapping, CONFIG)
 
-    @property
+    @cached_property
     def related(self):
         return relations.column_relations(self.mapped, self.relations, CONFIG)
 
@@ -83,16 +84,9 @@ class Steps:
 DIACRITICS = "replace(replace(replace(replace(strip_accents({0}), '^', ''), '`', ''), chr(183), ''), chr(180), '')"
 
 
-@query(f"""select doc_id, case when lower(v) in ('null', 'n/a') then '' else v end as cleaned from (
-  select doc_id, {DIACRITICS.format("trim(regexp_replace(substr(text, 1, 200), '[\\s\\x{00A0}]+', ' ', 'g'))")} as v from documents)""")
-def clean_cells(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.clean(F.substring("text", 1, 200)).alias("cleaned"))
-
-
 @query(f"""select doc_id, case when lower(v) in ('null', 'n/a') then '' else v end as cleaned from (
   select doc_id, {DIACRITICS.format("trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))")} as v from documents)""")
-def clean_texts(spark, sf_dir):
-    """clean_cells on whole texts."""
+def clean_cells(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
@@ -123,9 +117,13 @@ def capitalize_before_colon(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.capitalization(F.concat(F.lit("priority OF order: "), F.col("o_orderpriority"))).alias("capitalized"))
 
 
-@query()
+SENTENCES = r"list_aggregate(list_transform(string_split(regexp_replace(lower(text), '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: regexp_extract(p, '^\s*') || upper(substr(ltrim(p, chr(32) || chr(9) || chr(10) || chr(13)), 1, 1)) || substr(ltrim(p, chr(32) || chr(9) || chr(10) || chr(13)), 2)), 'string_agg', '')"
+
+
+@query(f"select item_id, {SENTENCES} as capitalized from benchmark where length(text) > 10 and regexp_matches(text, '[.!?]')")
 def sentence_case(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", text.capitalization(F.lower("text")).alias("capitalized"))
+    b = read(spark, sf_dir, "benchmark").where((F.length("text") > 10) & F.col("text").rlike("[.!?]"))
+    return b.select("item_id", text.capitalization(F.lower("text")).alias("capitalized"))
 
 
 MISSPELT = "case when p_partkey % 3 = 0 then p_name || ' DEFINATELY recieve' when p_partkey % 3 = 1 then 'Seperate ' || p_name || ' untill' else p_name end"
@@ -166,9 +164,16 @@ def number_format(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.number(few).alias("grouped"), text.number(F.regexp_replace(plain, r"\.", ",")).alias("comma"), text.number(spaced).alias("spaced"))
 
 
-@query()
+# A misspelt name, a date or a number, by key.
+DAY, MONTH, YEAR = "lpad(cast(1 + p_partkey % 28 as string), 2, '0')", "'0' || cast(1 + p_partkey % 9 as string)", "cast(1990 + p_partkey % 30 as string)"
+THOUSANDS, UNITS = "cast(1 + p_partkey % 999 as string)", "lpad(cast(p_partkey % 1000 as string), 3, '0')"
+UNCORRECTED = f"case when p_partkey % 5 = 3 then {DAY} || '.' || {MONTH} || '.' || {YEAR} when p_partkey % 5 = 4 then '-' || {THOUSANDS} || ' ' || {UNITS} || ',50' else {MISSPELT} end"
+
+
+@query(f"""select p_partkey, case when p_partkey % 5 = 3 then {YEAR} || '-' || {MONTH} || '-' || {DAY} when p_partkey % 5 = 4 then '-' || {THOUSANDS} || {UNITS} || '.50'
+  else {oracles.spelling(TITLE)} end as corrected from (select p_partkey, {MISSPELT} as v from part)""")
 def correct_values(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", text.correct(F.expr(MISSPELT), 2024).alias("corrected"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.correct(F.expr(UNCORRECTED), 2024).alias("corrected"))
 
 
 # Tables
@@ -181,6 +186,51 @@ def melt_cells(spark, sf_dir):
     return tables.melt(part, F.lit("part"), F.col("n"), ["p_name", "p_brand", "p_size"])
 
 
+def written(lines: DataFrame, path: str | None = None) -> str:
+    """A folder with a CSV file of lines(place, line), as they stand, in this order."""
+    path = path or new_folder(lines.sparkSession)
+    plain = {"quote": "", "sep": "\u0001", "escapeQuotes": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    lines.coalesce(1).sortWithinPartitions("place").select("line").write.options(**plain).csv(path)
+    return path
+
+
+# Quoted names with commas and quotes, cells with white space, and lines that are blank.
+LINES = r'''select p_partkey * 2 as place, concat(p_partkey, ',"', p_name, ', ""', p_brand, '""",  ', p_size, ' \t') as line from {part}
+union all select p_partkey * 2 + 1, case when p_partkey % 2 = 0 then ' \t ' else '\u00a0' end from {part} where p_partkey % 10 = 0'''
+FIELDS = """unnest([0, 1, 2]) as col_idx, unnest([p_partkey::varchar, p_name || ', "' || p_brand || '"', p_size::varchar]) as value from (
+  select *, (row_number() over (order by p_partkey) - 1)::int as row_idx from part)"""
+
+
+@query(f"""select row_idx, col_idx, ['key', 'name, "brand"', 'size'][col_idx + 1] as header, value from (select row_idx, {FIELDS})""")
+def load_csv(spark, sf_dir):
+    """A CSV file with a header, written from 'part' and read back."""
+    lines = spark.sql(LINES, part=read(spark, sf_dir, "part"))
+    header = spark.sql('''select cast(-1 as bigint) as place, 'key,"name, ""brand""",size' as line''')
+    return tables.read_cells(spark, written(lines.unionByName(header))).select("row_idx", "col_idx", "header", "value")
+
+
+@query(f"select row_idx, col_idx, 'Column' || (col_idx + 1) as header, value from (select row_idx, {FIELDS})")
+def load_csv_no_header(spark, sf_dir):
+    lines = spark.sql(LINES, part=read(spark, sf_dir, "part"))
+    return tables.read_cells(spark, written(lines), has_header=False).select("row_idx", "col_idx", "header", "value")
+
+
+@query("""select 'part' || p_size as table_id, case when p_partkey % 3 = 1 then (p_partkey % 4)::int else (p_partkey % 10)::int end as col_idx, case when p_partkey % 2 = 0 then p_brand end as result
+from part where p_partkey % 3 > 0 and p_partkey % 7 > 0""")
+def cta_targets_file(spark, sf_dir):
+    """Lines of column targets, some without an id or a number, written from 'part' and read back."""
+    lines = spark.sql("""select p_partkey as place, concat(case when p_partkey % 7 > 0 then concat('part', p_size) else '' end, ',', case when p_partkey % 3 = 0 then 'none' when p_partkey % 3 = 1 then cast(p_partkey % 4 as string) else concat(' ', p_partkey % 10, 'th') end,
+      ',', case when p_partkey % 2 = 0 then p_brand else '' end) as line from {part}""", part=read(spark, sf_dir, "part"))
+    return tables.read_cta_targets(spark, written(lines)).select("table_id", "col_idx", "result")
+
+
+@query("""select 'part' || p_size as table_id, p_partkey::int as row, case when p_partkey % 3 > 0 then (p_partkey % 4)::int else -1 end as col_idx, case when p_partkey % 2 = 0 then p_brand end as uri from part""")
+def cea_targets_file(spark, sf_dir):
+    """Lines of cell targets, some without a number (shown as -1), written from 'part' and read back."""
+    lines = spark.sql("""select p_partkey as place, concat('part', p_size, ',', p_partkey, ',', case when p_partkey % 3 > 0 then cast(p_partkey % 4 as string) else 'none' end, case when p_partkey % 2 = 0 then concat(',', p_brand) else '' end) as line from {part}""", part=read(spark, sf_dir, "part"))
+    return tables.read_cea_targets(spark, written(lines)).select("table_id", "row", F.coalesce("col_idx", F.lit(-1)).alias("col_idx"), "uri")
+
+
 @query("""with c as (select *, max(row_idx) over (partition by table_id) + 1 as n from ("""
     + oracles.STEPS["cells"]
     + """)) select table_id, row_idx, col_idx, header, value from c where 70 >= n or row_idx = n - 1 or (row_idx % floor(n / 70) = 0 and floor(row_idx / floor(n / 70)) <= 68)""")
@@ -243,27 +293,16 @@ def cea_best(spark, sf_dir):
     return selection.best_entity(Steps(spark, sf_dir).candidates).select("table_id", "row_idx", "col_idx", "uri", F.round("confidence", 6).alias("confidence"))
 
 
-CEA_TARGETS = """select o_orderkey as target_no, case when o_orderkey % 5 = 0 then 'missing' else 'customers' end as table_id, cast(1 + o_orderkey % 2000 as int) as row, cast(o_orderkey % 3 as int) as col_idx, 'old' as uri from {orders}"""
-
-
-@query(oracles.chain(f"""select t.target_no, t.table_id, t.row, t.col_idx, case when t.table_id = 'missing' then t.uri else coalesce(b.uri, '') end as uri from ({CEA_TARGETS.replace("{orders}", "orders")}) t
-left join (select table_id, row_idx, col_idx, arg_min(uri, rank) as uri from candidates where source <> 'DBpedia' group by table_id, row_idx, col_idx) b on b.table_id = t.table_id and b.row_idx + 1 = t.row and b.col_idx = t.col_idx"""))
-def cea_targets_left_join(spark, sf_dir):
-    s = Steps(spark, sf_dir)
-    targets = spark.sql(CEA_TARGETS, orders=read(spark, sf_dir, "orders"))
-    return selection.fill_cea_targets(targets, selection.best_entity(s.candidates), s.cells).select("target_no", "table_id", "row", "col_idx", "uri")
-
-
-CEA_ALL_ROWS = """select target_no, table_id, cast(1 + j % n as int) as row, cast(floor(j / n) % 3 as int) as col_idx, 'old' as uri from (
+CEA_TARGETS = """select target_no, table_id, cast(1 + j % n as int) as row, cast(floor(j / n) % 3 as int) as col_idx, 'old' as uri from (
   select o_orderkey as target_no, case when o_orderkey % 5 = 0 then 'missing' else 'customers' end as table_id, o_orderkey - cast(floor(o_orderkey / 5) as bigint) as j, (select count(*) from {customer}) as n from {orders}) o"""
 
 
-@query(oracles.chain(f"""select t.target_no, t.table_id, t.row, t.col_idx, case when t.table_id = 'missing' then t.uri else coalesce(b.uri, '') end as uri from ({CEA_ALL_ROWS.format(orders="orders", customer="customer")}) t
+@query(oracles.chain(f"""select t.target_no, t.table_id, t.row, t.col_idx, case when t.table_id = 'missing' then t.uri else coalesce(b.uri, '') end as uri from ({CEA_TARGETS.format(orders="orders", customer="customer")}) t
 left join (select table_id, row_idx, col_idx, arg_min(uri, rank) as uri from candidates where source <> 'DBpedia' group by table_id, row_idx, col_idx) b on b.table_id = t.table_id and b.row_idx + 1 = t.row and b.col_idx = t.col_idx"""))
-def cea_targets_all_rows(spark, sf_dir):
-    """cea_targets_left_join with targets for every row and column of 'customers'."""
+def cea_targets_left_join(spark, sf_dir):
+    """Targets for every row and column of 'customers', and for a table that is not there."""
     s = Steps(spark, sf_dir)
-    targets = spark.sql(CEA_ALL_ROWS, orders=read(spark, sf_dir, "orders"), customer=read(spark, sf_dir, "customer"))
+    targets = spark.sql(CEA_TARGETS, orders=read(spark, sf_dir, "orders"), customer=read(spark, sf_dir, "customer"))
     return selection.fill_cea_targets(targets, selection.best_entity(s.candidates), s.cells).select("target_no", "table_id", "row", "col_idx", "uri")
 
 
@@ -292,18 +331,12 @@ def uri_boost(spark, sf_dir):
     return Steps(spark, sf_dir).scored.select("table_id", "col_idx", "row_idx", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(f"select page_id, contains({oracles.PART.format('url')}, {oracles.NORM.format('page_id::varchar')}) as held, {oracles.PART.format('url')} as part from pages where regexp_extract(url, '[^/#]*$') <> ''")
-def uri_contains(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").where(F.element_at(F.split("url", "[/#]"), -1) != "")
-    return p.select("page_id", uri.contains_value(F.col("url"), F.col("page_id").cast("string")).alias("held"), text.matching_form(text.last_part(F.lower("url"))).alias("part"))
-
-
 LAST_PART = "coalesce(nullif(regexp_extract(lower(url), '[^/#]*$'), ''), lower(url))"
 
 
 @query(f"select page_id, contains({oracles.NORM.format(LAST_PART)}, {oracles.NORM.format('page_id::varchar')}) as held, {oracles.NORM.format(LAST_PART)} as part from pages")
-def uri_contains_all(spark, sf_dir):
-    """uri_contains on every page; a URL that ends in a slash or hash counts whole."""
+def uri_contains(spark, sf_dir):
+    """A URL that ends in a slash or hash counts whole."""
     p = read(spark, sf_dir, "pages")
     return p.select("page_id", uri.contains_value(F.col("url"), F.col("page_id").cast("string")).alias("held"), text.matching_form(text.last_part(F.lower("url"))).alias("part"))
 

@@ -121,7 +121,7 @@ STEPS = {
 
 
 def chain(final: str) -> str:
-    return "with " + ",\n".join(f"{name} as ({body})" for name, body in STEPS.items()) + "\n" + final
+    return "with " + ",\n".join(f"{name} as materialized ({body})" for name, body in STEPS.items()) + "\n" + final
 
 
 def spelling(v: str) -> str:

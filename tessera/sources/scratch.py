@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once and read back: branches share it, the plan starts anew, a lost executor costs nothing.
-
-    The folder is the session's spark.checkpoint.dir; where that is unset (a single machine), one is made.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name in the session's spark.checkpoint.dir; where that is unset, one is made if the master is this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         base = context._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read back: branches share it, the plan starts anew, a lost executor costs nothing."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

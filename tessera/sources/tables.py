@@ -37,25 +37,39 @@ def _quoted(lines: pd.Series) -> pd.Series:
 
 
 def split_line(line: Column) -> Column:
-    """Only lines that hold a quote leave the JVM."""
+    """The fields of a line.  The Arrow function gets null for lines without a quote."""
     quoted = line.contains('"')
     return F.coalesce(_quoted(F.when(quoted, line)), F.split(line, ","))
 
 
-def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """table_id, line_no, line of every non-blank line of the folder's CSV files (extension in any case)."""
-    files = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(folder, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-    files = files.select(F.regexp_replace(F.url_decode("file"), r"(?i)\.csv$", "").alias("table_id"), F.split("value", "\r?\n").alias("lines"))
-    return files.select("table_id", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
+def decoded(path: Column) -> Column:
+    """A file's name or path as it is; Spark's metadata encodes it as a URI, in which a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_cells(spark: SparkSession, folder: str, has_header: bool = True, on_malformed: str = "drop") -> DataFrame:
+def raw_lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """table_id, nth (from 0) and line of every non-blank line of the folder's CSV files (extension in any case).
+
+    Files are read in blocks, a large one by several tasks; a line's number is its place in its block after the
+    lines of the blocks before.
+    """
+    name = decoded(F.col("_metadata.file_name"))
+    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("lineSep", "\n").text(folder)
+    lines = lines.select(F.regexp_replace(name, r"(?i)\.csv$", "").alias("table_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = lines.where(~F.col("line").rlike(f"^{text.BLANK}*$"))
+    before = Window.partitionBy("table_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("table_id", "block").agg(F.count("*").alias("lines"))
+    blocks = blocks.select("table_id", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("table_id", "block").orderBy("id")) - 1
+    return lines.withColumn("place", place).join(blocks, ["table_id", "block"]).select("table_id", (F.col("base") + F.col("place")).alias("nth"), "line")
+
+
+def read_cells(spark: SparkSession, folder: str | list[str], has_header: bool = True, on_malformed: str = "drop") -> DataFrame:
     """cells: table_id, row_idx, col_idx, header, value, cleaned and not empty.
 
     A cell beyond the header's width is dropped (on_malformed="error": the read fails).
     """
-    order = Window.partitionBy("table_id").orderBy("line_no")
-    rows = raw_lines(spark, folder).withColumn("nth", F.row_number().over(order) - 1)
+    rows = raw_lines(spark, folder)
     fields = rows.select("table_id", "nth", F.posexplode(split_line(F.col("line"))).alias("col_idx", "raw"))
     fields = fields.select("table_id", "nth", "col_idx", text.clean(F.col("raw")).alias("value"))
     if has_header:
@@ -93,18 +107,23 @@ def sample_rows(cells: DataFrame, size: int | None) -> DataFrame:
 
 def _targets(spark: SparkSession, path: str) -> DataFrame:
     """Lines in their order: monotonically increasing ids follow a file's lines."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("target_no"), F.split("value", ",").alias("f"))
+    return spark.read.text(path).where(~F.col("value").rlike(f"^{text.BLANK}*$")).select(F.monotonically_increasing_id().alias("target_no"), F.split("value", ",").alias("f"))
+
+
+def _leading_int(field: int) -> Column:
+    """The whole number that a field of ``f`` begins with, else null."""
+    return F.regexp_extract(F.get("f", F.lit(field)), f"^{text.BLANK}*([+-]?[0-9]+)", 1).try_cast("int")
 
 
 def read_cta_targets(spark: SparkSession, path: str) -> DataFrame:
     """target_no, table_id, col_idx, result; lines without an id or a column number are dropped."""
-    x = _targets(spark, path).select("target_no", F.get("f", F.lit(0)).alias("table_id"), F.get("f", F.lit(1)).try_cast("int").alias("col_idx"), F.nullif(F.get("f", F.lit(2)), F.lit("")).alias("result"))
+    x = _targets(spark, path).select("target_no", F.get("f", F.lit(0)).alias("table_id"), _leading_int(1).alias("col_idx"), F.nullif(F.get("f", F.lit(2)), F.lit("")).alias("result"))
     return x.where((F.col("table_id") != "") & F.col("col_idx").isNotNull())
 
 
 def read_cea_targets(spark: SparkSession, path: str) -> DataFrame:
     """target_no, table_id, row (from 1), col_idx, uri; numbers that can't be read are null."""
-    return _targets(spark, path).select("target_no", F.get("f", F.lit(0)).alias("table_id"), F.get("f", F.lit(1)).try_cast("int").alias("row"), F.get("f", F.lit(2)).try_cast("int").alias("col_idx"), F.nullif(F.get("f", F.lit(3)), F.lit("")).alias("uri"))
+    return _targets(spark, path).select("target_no", F.get("f", F.lit(0)).alias("table_id"), _leading_int(1).alias("row"), _leading_int(2).alias("col_idx"), F.nullif(F.get("f", F.lit(3)), F.lit("")).alias("uri"))
 
 
 def write_lines(targets: DataFrame, columns: list[str], path: str) -> None:

@@ -11,16 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Config
 from ..plans.annotate import run_cta
 from ..sources.kb import KnowledgeBase
-from ..sources.tables import read_cells
+from ..sources.tables import decoded, read_cells
 
 
-def annotate_folder(spark: SparkSession, folder: str, kb: KnowledgeBase, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config | None = None) -> StreamingQuery:
-    """Start a query that gives sink(types, batch number) the column types of each batch of new files."""
-    arrivals = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-    files = arrivals.select(F.col("_metadata.file_path").alias("path"))
+def annotate_folder(spark: SparkSession, folder: str, kb: KnowledgeBase, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config | None = None, files_a_batch: int = 1_000) -> StreamingQuery:
+    """Start a query that gives sink(types, batch number) the column types of each batch of at most files_a_batch new files."""
+    arrivals = spark.readStream.format("text").option("maxFilesPerTrigger", files_a_batch).option("wholetext", True).option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
+    files = arrivals.select(decoded(F.col("_metadata.file_path")).alias("path"))
 
     def batch(found: DataFrame, number: int) -> None:
-        # The paths of one batch: bounded by the source's maxFilesPerTrigger.
+        # As many paths as maxFilesPerTrigger at most.
         paths = [r["path"] for r in found.distinct().collect()]
         if paths:
             sink(run_cta(read_cells(found.sparkSession, paths), kb, config).types, number)

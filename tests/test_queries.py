@@ -39,12 +39,12 @@ def test_clean_whole_texts(spark, tmp_path):
     long = "abc " * 60
     rows = [(0, long + " \u00e9\u00a0\t x^` "), (1, " " * 300 + "N/A"), (2, "\u00fc  " * 400_000), (3, None), (4, "n" * 250 + "\u0301")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["cleaned"] for r in catalog.queries()["clean_texts"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.queries()["clean_cells"](spark, str(tmp_path)).collect()}
     assert got == {0: long + "e x", 1: "", 2: " ".join("u" * 400_000), 3: "", 4: "n" * 250}
 
 
 def test_uri_contains_every_page(spark, duck):
-    got = catalog.queries()["uri_contains_all"](spark, SF).collect()
+    got = catalog.queries()["uri_contains"](spark, SF).collect()
     ends = duck.sql("select page_id, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') from pages where url like '%/' or url like '%#'").fetchall()
     assert len(got) == duck.sql("select count(*) from pages").fetchall()[0][0]
     assert ends and set(ends) <= {(r["page_id"], r["part"]) for r in got}
@@ -56,6 +56,6 @@ def test_cea_targets_name_every_row(spark, tmp_path):
     row = spark.read.parquet(f"{SF}/customer.parquet").limit(1)
     row.drop("c_custkey").crossJoin(spark.range(1, 2501).withColumnRenamed("id", "c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
     spark.range(25_000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
-    got = catalog.queries()["cea_targets_all_rows"](spark, str(tmp_path)).where("table_id = 'customers'").collect()
+    got = catalog.queries()["cea_targets_left_join"](spark, str(tmp_path)).where("table_id = 'customers'").collect()
     assert {(r["row"], r["col_idx"]) for r in got} == {(i, c) for i in range(1, 2501) for c in range(3)}
     assert all(r["uri"] for r in got if r["col_idx"] < 2)

@@ -47,6 +47,18 @@ def test_read_cells(spark, folder):
         tables.read_cells(spark, folder, on_malformed="error").collect()
 
 
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "a+b c%20d.csv").write_text("h,i\n\t \t\n1,2\n\u00a0\n3,4")
+    (tmp_path / "long.csv").write_text("n\n" + "".join(f"{i}\r\n{' ' * (i % 3)}\n" for i in range(3_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {(r["table_id"], r["row_idx"], r["col_idx"]): r["value"] for r in tables.read_cells(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {("a+b c%20d", 0, 0): "1", ("a+b c%20d", 0, 1): "2", ("a+b c%20d", 1, 0): "3", ("a+b c%20d", 1, 1): "4"}
+    assert got == want | {("long", i, 0): str(i) for i in range(3_000)}
+
+
 def test_no_header(spark, folder):
     got = tables.read_cells(spark, folder, has_header=False).where("table_id = 'other'").orderBy("row_idx").collect()
     assert [(r["header"], r["value"]) for r in got] == [("Column1", "name"), ("Column1", "Paris"), ("Column1", "0")]
@@ -99,8 +111,14 @@ def test_batch(spark, folder, kb, tmp_path):
 def test_streaming(spark, folder, kb, tmp_path):
     from tessera.streaming.folder import annotate_folder
 
-    seen = []
-    annotate_folder(spark, folder, kb, lambda df, n: seen.extend(df.select("table_id", "col_idx").collect()), str(tmp_path / "state"), Config(as_of_year=2024)).awaitTermination(120)
+    seen, batches = [], set()
+
+    def sink(df, n):
+        batches.add(n)
+        seen.extend(df.select("table_id", "col_idx").collect())
+
+    annotate_folder(spark, folder, kb, sink, str(tmp_path / "state"), Config(as_of_year=2024), files_a_batch=1).awaitTermination(120)
+    assert len(batches) == 2
     assert {(r["table_id"], r["col_idx"]) for r in seen} == {("lands", 0), ("lands", 1), ("other", 0)}
 
 
