@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
+
 #: A word is a run of characters other than these.
 SPACE = r"[\x20\x09-\x0D]"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,29 +20,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder.
-
-    The folder is read from the session's spark.checkpoint.dir.  Where that is unset, a folder is made and set
-    on the context if the master is this machine alone; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        base = context._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def save(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to a shared table and read it back: cuts lineage, survives lost executors, frees shuffle files."""
     spark = df.sparkSession
-    path, before = scratch(spark), spark.conf.get(CLEANUP, "false")
+    path, before = new_folder(spark), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         writer = df.write
