@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .column_types import COLUMN
@@ -20,14 +20,23 @@ def assign_types(types: DataFrame, headers: DataFrame | None = None) -> DataFram
     return x
 
 
+def report(types: DataFrame, most: int = 3) -> DataFrame:
+    """assign_types() for readers: the type's label, percent and URI, and label and percent of up to ``most`` alternatives."""
+    percent = lambda c: F.concat(F.floor(c * 100 + 0.5), F.lit("%"))
+    others = F.transform(F.slice("alternatives", 1, most), lambda a: F.concat(a["label"], F.lit(" - "), percent(a["confidence"])))
+    header = [F.col("header")] if "header" in types.columns else []
+    return types.select(*COLUMN, *header, F.concat(F.col("label"), F.lit(" - "), percent(F.col("confidence")), F.lit(" - "), F.col("type_uri")).alias("type"), F.array_join(others, ", ").alias("alternatives"))
+
+
 def cell_entities(candidates: DataFrame) -> DataFrame:
     """cea: every Wikidata candidate of each cell, in order."""
     return candidates.where((F.col("source") != "DBpedia") & (F.col("uri") != "")).select("table_id", "row_idx", "col_idx", "rank", "uri", "label", "confidence")
 
 
 def best_entity(candidates: DataFrame) -> DataFrame:
-    first = Window.partitionBy("table_id", "row_idx", "col_idx").orderBy("rank")
-    return cell_entities(candidates).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "rank")
+    """The first Wikidata candidate of each cell."""
+    best = F.min_by(F.struct("uri", "label", "confidence"), "rank")
+    return cell_entities(candidates).groupBy("table_id", "row_idx", "col_idx").agg(best.alias("best")).select("table_id", "row_idx", "col_idx", "best.*")
 
 
 def fill_cta_targets(targets: DataFrame, cta: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import seeds, similarity, text
 from ..operators import column_types, mapping, relations, search, selection, uri
-from ..sources import tables
+from ..sources import service, tables
 from ..sources.scratch import new_folder, stored
 from . import fixtures, oracles
 
@@ -407,6 +407,22 @@ def cta_final(spark, sf_dir):
     return selection.assign_types(Steps(spark, sf_dir).preferred).select("table_id", "col_idx", "type_uri", "label", F.round("confidence", 6).alias("confidence"), F.array_join("alternatives.uri", " ").alias("alternatives"))
 
 
+@query(oracles.chain("""select table_id, col_idx, arg_min(label, nth) || ' - ' || cast(floor(arg_min(confidence, nth) * 100 + 0.5) as int) || '% - ' || arg_min(type_uri, nth) as type,
+coalesce(string_agg(case when nth between 2 and 4 then label || ' - ' || cast(floor(confidence * 100 + 0.5) as int) || '%' end, ', ' order by nth), '') as alternatives from preferred group by table_id, col_idx"""))
+def cta_report(spark, sf_dir):
+    """What single-table mode shows: label, percent and URI, and up to three alternatives."""
+    return selection.report(selection.assign_types(Steps(spark, sf_dir).preferred)).select("table_id", "col_idx", "type", "alternatives")
+
+
+@query("""select p_partkey, case when p_partkey % 4 = 0 then p_name when p_partkey % 4 = 1 then 'http://r/' || p_partkey when p_partkey % 4 = 2 then 'Q' || p_partkey else 'Unknown' end as label from part""")
+def result_labels(spark, sf_dir):
+    """A search result's label: its name, else its resource, else its id, else Unknown."""
+    k = F.col("p_partkey") % 4
+    name, resource = F.when(k == 0, F.col("p_name")).when(k == 1, F.lit("")), F.when(k < 2, F.concat(F.lit("http://r/"), "p_partkey"))
+    entity = F.when(k == 2, F.concat(F.lit("Q"), "p_partkey"))
+    return read(spark, sf_dir, "part").select("p_partkey", service.labelled(name, resource, entity).alias("label"))
+
+
 CTA_TARGETS = """select p_partkey as target_no, case when p_partkey % 4 = 0 then 'missing' when p_partkey % 4 = 1 then 'nations' when p_partkey % 4 = 2 then 'segments' else 'parts' end as table_id, cast(p_partkey % 3 as int) as col_idx, 'old' as result from {part}"""
 
 

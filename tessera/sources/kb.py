@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..functions.seeds import DBPEDIA
 from ..functions.similarity import characters
 
@@ -48,14 +47,3 @@ def build_search(entities: DataFrame, values: DataFrame, limit: int = 5) -> Data
     by = Window.partitionBy("source", "query").orderBy(F.desc(F.round("similarity", 12)), "label", "uri")
     ranked = pairs.withColumn("pos", F.row_number().over(by) - 1).where(F.col("pos") < limit)
     return ranked.select("source", "query", F.col("pos").cast("int").alias("pos"), F.count("*").over(Window.partitionBy("source", "query")).cast("int").alias("n_results"), "uri", "label")
-
-
-def normalized(raw: DataFrame) -> DataFrame:
-    """kb_search with labels and URIs filled in: a Wikidata id makes its URI; a missing label falls back to resource or id."""
-    uri = F.when((F.col("source") == "Wikidata") & ~F.col("uri").startswith("http"), F.concat(F.lit("http://www.wikidata.org/entity/"), "uri")).otherwise(F.col("uri"))
-    label = F.coalesce("label", "uri", F.lit("Unknown"))
-    return raw.withColumn("label", label).withColumn("uri", uri)
-
-
-def entity_label(uri):
-    return text.uri_label(uri, "Entity")

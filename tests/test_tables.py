@@ -108,6 +108,23 @@ def test_batch(spark, folder, kb, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()][0] == f"lands,1,0,{WIKIDATA}Q142"
 
 
+def test_command_line(spark, folder, kb, tmp_path, capsys, monkeypatch):
+    from tessera import __main__ as command
+
+    for name, t in (("kb_search", kb.search), ("kb_types", kb.types), ("kb_parents", kb.parents)):
+        t.write.parquet(str(tmp_path / name))
+    config = command.configured(command.parsed(["cta", "x", "y", "--preset", "low", "--sample", "7", "--threshold", "0.4", "--no-uris"]))
+    assert (config.sample_size, config.confidence_threshold, config.use_column_relations, config.use_uri_analysis) == (7, 0.4, False, False)
+    command.main(["cta", folder, str(tmp_path)])
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 3 and any(x.startswith("lands\t0\tcountry\t") and "% - " in x for x in lines)
+    command.main(["cea", folder, str(tmp_path)])
+    assert f"lands\t0\t0\t{WIKIDATA}Q142" in capsys.readouterr().out
+    (tmp_path / "targets.csv").write_text("lands,0,\n")
+    command.main(["cta", folder, str(tmp_path), "--targets", str(tmp_path / "targets.csv"), "--out", str(tmp_path / "filled")])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "filled")).collect()] == [f"lands,0,{WIKIDATA}Q6256"]
+
+
 def test_streaming(spark, folder, kb, tmp_path):
     from tessera.streaming.folder import annotate_folder
 
