@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, jaccard_join, quality_rules, source_mix, suffix_dedup
 from tessera.llm.common import save
+from tessera.sources.scratch import tidy
 
 #: Near duplicates share 80 % of their five-word shingles; repeats are of 50 bytes and more.
 SHINGLE_WORDS, SIMILAR_PERCENT, REPEAT_BYTES = 5, 80, 50
@@ -65,6 +66,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:

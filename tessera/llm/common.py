@@ -12,7 +12,8 @@ from ..sources.scratch import new_folder
 
 #: A word is a run of characters other than these.
 SPACE = r"[\x20\x09-\x0D]"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go as soon as it is there, and Arrow batches are short.
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
 def words(text: Column) -> Column:
@@ -23,15 +24,17 @@ def words(text: Column) -> Column:
 def save(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to a shared table and read it back: cuts lineage, survives lost executors, frees shuffle files."""
     spark = df.sparkSession
-    path, before = new_folder(spark), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_folder(spark), {key: spark.conf.get(key) for key in WHILE_SAVING}
     try:
+        for key, value in WHILE_SAVING.items():
+            spark.conf.set(key, value)
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import components, save, sliced
 from .rolling import blocks, mix, windows, word_hashes
 
@@ -313,6 +314,7 @@ def left_over(index: DataFrame, groups: DataFrame, texts: DataFrame, percent: in
     return ordered.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.group").alias("ga"), F.col("y.group").alias("gb")).distinct()
 
 
+@tidy
 def class_groups(index: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     pairs = neighbours(index, percent)
@@ -329,6 +331,7 @@ def class_groups(index: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return within.unionByName(alone)
 
 
+@tidy
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, digest: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every document, and text_digest() if asked for."""
     docs = docs.select("doc_id", "text")
@@ -345,6 +348,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, digest: bo
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
+@tidy
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs' columns: of each group the row with the smallest doc_id, of equal rows one.  Rows without words stay.
 

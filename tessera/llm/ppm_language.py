@@ -7,8 +7,8 @@ distinct)), and the same in the next shorter context, down to 1/256 for any byte
 exact code length of all its bytes under these frozen counts; the language with the shortest code wins,
 ties to the smaller name, and the score is its posterior under equal priors.
 
-Training takes, per language, at most ``train_rows`` rows with the smallest hash of the id (the
-bound that this operator documents), and of those at most ``train_bytes`` bytes in all, whole texts.
+Training takes, per language, at most ``train_rows`` rows with the smallest hash of the id (rows of one id by their
+text), and of those as many whole texts as fit in ``train_bytes`` bytes: the two bounds on the sample.
 
 Null text or text without a letter is ``und`` with score 0, as is every text if nothing was learned.
 Repeated rows give repeated results; an empty table an empty one.
@@ -22,6 +22,7 @@ import pickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import save, sliced, worker_cache
 
 ORDER = 3
@@ -132,6 +133,7 @@ class Model:
         return sums
 
 
+@tidy
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model of labelled(text, lang, order): one task learns a language from its bounded sample."""
     by_order = Window.partitionBy("lang").orderBy("order")
@@ -201,5 +203,5 @@ def held_out_predictions(docs: DataFrame, fold: int = 2, folds: int = 4) -> Data
     """doc_id, held_out, lang_pred, score: learned from documents outside the fold crc32(doc_id) mod folds, applied to all."""
     docs = docs.select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    labelled = docs.where(~held_out).select("lang", "text", F.struct(F.xxhash64("doc_id"), "doc_id").alias("order"))
+    labelled = docs.where(~held_out).select("lang", "text", F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).alias("order"))
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), train(labelled))

@@ -19,7 +19,7 @@ from .rolling import mix
 
 #: Buckets of documents (2**BUCKET_BITS: what is broadcast); anchors that a task remembers (2**SLOT_BITS).
 BUCKET_BITS, SLOT_BITS = 20, 20
-#: Anchors in more documents than this are not extended as a group: each of their windows is a group by itself.
+#: Anchors in more documents than this are no group: each of their windows is one by itself.
 OFTEN = 10_000
 ID = ["oid", "tid"]
 
@@ -31,13 +31,13 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), oid.alias("oid"), F.xxhash64(text).alias("tid"), F.sha2(text, 256).alias("sha"))
 
 
-def parted(x: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parted(x: DataFrame, ids: DataFrame, by: list[str] = ID) -> tuple[DataFrame, DataFrame]:
     """x in two: rows that ids (of the same oid and tid) may name, and rows that they do not.
 
     ids are sent to all executors as numbers of buckets, of which there are 2**BUCKET_BITS at most, so that the
     texts of the second part need not be moved.
     """
-    bucket = F.pmod(F.xxhash64(*ID), F.lit(1 << BUCKET_BITS)).cast("int")
+    bucket = F.pmod(F.xxhash64(*by), F.lit(1 << BUCKET_BITS)).cast("int")
     named = F.broadcast(save(ids.select(bucket.alias("bucket")).distinct()))
     x = x.withColumn("bucket", bucket)
     return x.join(named, "bucket", "left_semi").drop("bucket"), x.join(named, "bucket", "left_anti").drop("bucket")
@@ -58,12 +58,12 @@ def representatives(x: DataFrame, copied: DataFrame) -> DataFrame:
 
 
 def recurring(reps: DataFrame, anchors: Callable, across_documents: bool) -> DataFrame:
-    """oid, tid, anchor: the anchors of each document that recur (in another document, or anywhere); written.
+    """oid, anchor, more: the anchors of each document that recur (in another document, or anywhere); written.
 
-    anchors(batches) gives for batches of oid, tid, text lists of (row of the batch, its anchors, with repeats).
+    anchors(texts) gives pairs of a text's place in the list and its anchors, with repeats.
 
     A task sends an anchor to where all tasks' rows of it meet only twice; what it has seen twice recurs, and its
-    further rows are dealt out at random.
+    further rows (more) are dealt out at random.
     """
 
     def run(batches):
@@ -77,37 +77,39 @@ def recurring(reps: DataFrame, anchors: Callable, across_documents: bool) -> Dat
             flat = np.concatenate([x for x, _ in unique]) if found else np.zeros(0, np.uint64)
             again = (np.concatenate([n for _, n in unique]) if found else np.zeros(0, np.int64)) > 1
             row = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x) for x, _ in unique])
+            # Rows of one anchor in a row: how often it was seen before, and each row's place among them.
             order = np.argsort(flat, kind="stable")
-            flat, row, again = flat[order], row[order], again[order]
-            new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+            held = flat[order]
+            new = np.append(True, held[1:] != held[:-1])[: len(held)]
             first = np.flatnonzero(new)
-            rank = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
-            slot = (flat[first] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            before = np.where(slots[slot] == flat[first], times[slot], 0)
-            count = np.diff(np.append(first, len(flat)))
-            slots[slot], times[slot] = flat[first], np.minimum(before + count, 2)
-            group = np.cumsum(new) - 1
-            sure = ((before + count)[group] > 1) | (again & ~np.bool_(across_documents))
-            key = np.where(before[group] + rank < 2, flat, mix(row.astype(np.uint64) ^ flat, 11))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("oid").take(take), batch.column("tid").take(take), pa.array(flat.view(np.int64)), pa.array(key.view(np.int64)), pa.array(sure)], names=["oid", "tid", "anchor", "key", "sure"])
-
-    rows = reps.select(*ID, "text").mapInArrow(run, "oid long, tid long, anchor long, key long, sure boolean")
+            count = np.diff(np.append(first, len(held)))
+            slot = (held[first] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            before = np.where(slots[slot] == held[first], times[slot], 0)
+            slots[slot], times[slot] = held[first], np.minimum(before + count, 2)
+            nth, total = np.empty(len(held), dtype=np.int64), np.empty(len(held), dtype=np.int64)
+            nth[order] = np.arange(len(held)) - np.repeat(first - before, count)
+            total[order] = np.repeat(before + count, count)
+            more = nth >= 2
+            key = np.where(more, mix(row.astype(np.uint64) ^ flat, 11), flat)
+            sure = (total > 1) | (again & ~np.bool_(across_documents))
+            yield pa.RecordBatch.from_arrays([batch.column("oid").take(pa.array(row)), pa.array(flat.view(np.int64)), pa.array(key.view(np.int64)), pa.array(sure), pa.array(more)], names=["oid", "anchor", "key", "sure", "more"])
+
+    rows = reps.select("oid", "text").mapInArrow(run, "oid long, anchor long, key long, sure boolean, more boolean")
     same = Window.partitionBy("key")
     several = F.min("oid").over(same) != F.max("oid").over(same) if across_documents else F.count("*").over(same) > 1
-    return save(rows.withColumn("recurs", F.col("sure") | several).where("recurs").select(*ID, "anchor"))
+    return save(rows.withColumn("recurs", F.col("sure") | several).where("recurs").select("oid", "anchor", "more"))
 
 
-def frequent(again: DataFrame) -> set[int]:
-    """Anchors in more documents than OFTEN and than a millionth of all places: a million at most."""
+def frequent(again: DataFrame) -> list[int]:
+    """Anchors of which more than OFTEN rows and than a millionth of all were dealt out: a million at most."""
     least = max(OFTEN, again.count() // 1_000_000)
-    return {r["anchor"] for r in again.groupBy("anchor").count().where(F.col("count") > least).select("anchor").collect()}
+    return sorted(r["anchor"] for r in again.where("more").groupBy("anchor").count().where(F.col("count") > least).select("anchor").collect())
 
 
 def seeded(reps: DataFrame, again: DataFrame) -> DataFrame:
     """oid, tid, text and seeds (the recurring anchors) of the documents that have any."""
-    maybe, _ = parted(reps, again)
-    return maybe.select(*ID, "text").join(again.groupBy(*ID).agg(F.collect_set("anchor").alias("seeds")), ID)
+    maybe, _ = parted(reps, again, ["oid"])
+    return maybe.select(*ID, "text").join(again.groupBy("oid").agg(F.collect_list("anchor").alias("seeds")), "oid")
 
 
 def grouped(batches, names: list[str], rows: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 ODD, UNDO = 0x9E3779B97F4A7C15, 0xF1DE83E19937733D  # inverse of each other modulo 2**64
 #: Bytes of text worked on at a time; places in a word whose spread numbers are kept in a table.
-BLOCK, NEAR = 2 << 20, 32
+BLOCK, NEAR = 1 << 20, 32
 
 
 def mix(x, seed: int = 0):
@@ -51,13 +51,14 @@ def word_hashes(texts: list[bytes]):
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    letter = place * 256 + x[~gap]
-    near = mix(np.arange(NEAR * 256, dtype=np.uint64), 1)
-    spread = near[np.minimum(letter, NEAR * 256 - 1)]
-    far = place >= NEAR
-    if far.any():
-        spread[far] = mix(letter[far].astype(np.uint64), 1)
+    kind = np.int32 if len(x) < 1 << 23 else np.int64  # places times 256 fit
+    place = np.arange(lengths.sum(), dtype=kind) - np.repeat(first.astype(kind), lengths)
+    far = np.flatnonzero(place >= NEAR)
+    letter = place * kind(256) + x[~gap]
+    much = letter[far]
+    letter[far] = 0
+    spread = mix(np.arange(NEAR * 256, dtype=np.uint64), 1)[letter]
+    spread[far] = mix(much.astype(np.uint64), 1)
     hashes = mix(np.add.reduceat(spread, first), 2) if len(first) else np.zeros(0, np.uint64)
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(starts, offsets)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import SPACE, save
 
 BITS, LEVELS = 10, 4
@@ -91,6 +92,7 @@ def with_copies(sized: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("copies", F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).drop("whole", "below")
 
 
+@tidy
 def source_mix(docs: DataFrame, weights: list[float], cap: float = 3.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document."""
     sized = save(measured(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "hash"))
@@ -98,6 +100,7 @@ def source_mix(docs: DataFrame, weights: list[float], cap: float = 3.0) -> DataF
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@tidy
 def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0) -> DataFrame:
     """The mix itself, with docs' columns: a document is as many rows as the mix takes it times."""
     sized = measured(docs)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import save, sliced
 from .repeats import copies, frequent, grouped, identified, merged, recurring, representatives, seeded, without
 from .rolling import blocks, long_windows, minimizers, mix, windows, word_hashes
@@ -26,7 +27,7 @@ from .rolling import blocks, long_windows, minimizers, mix, windows, word_hashes
 ANCHOR = 8
 ALL = 2**31 - 1
 #: Rows that are extended at once; surroundings of seeds that a task remembers.
-BLOCK_ROWS, SEEN_ROWS = 20_000, 200_000
+BLOCK_ROWS, SEEN_ROWS = 20_000, 100_000
 
 
 def _anchored(texts: list[str], window: int):
@@ -126,14 +127,12 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
 
     def contexts(batches):
         """Rows to extend (without an end), and rows that are known to be repeated (without a context)."""
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        seen: dict[bytes, int] = {}
-        hot = np.array(sorted(often), dtype=np.int64)
+        seen: dict[bytes, int] = {}  # a context has one key
+        hot = np.array(often, dtype=np.int64)
         for batch in sliced(batches, 256):
             ids, tids, known = batch.column("oid").to_pylist(), batch.column("tid").to_pylist(), batch.column("seeds")
             texts, out = batch.column("text").to_pylist(), []
@@ -142,12 +141,11 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
                 for key, first, n, before in zip(*surroundings(own, anchors, place, known[i].values.to_numpy(), hot, window), strict=True):
                     end = first + n - 1 + window
                     context = b" ".join(words[first:end])
-                    name = hashlib.blake2b(context, digest_size=16, salt=key.to_bytes(8, "little", signed=True)).digest()
-                    times = seen.get(name, 0)
+                    times = seen.get(context, 0)
                     if not times and len(seen) >= SEEN_ROWS:
                         seen.clear()
                     if times < 2:
-                        seen[name] = times + 1
+                        seen[context] = times + 1
                         out.append((key, ids[i], tids[i], None if times else first, None, before, context))
                     if times:
                         out.append((hash((key, ids[i], first)), ids[i], tids[i], first, end, None, None))
@@ -166,6 +164,7 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(extend, "oid long, tid long, start int, end int")
 
 
+@tidy
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """row (docs' columns but the text), n_words, n_removed, spans (maximal repeats in words) and kept (the kept words, joined by a space)."""
     x = identified(docs)

@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import save, sliced
 from .repeats import copies, frequent, grouped, identified, merged, recurring, representatives, seeded, without
 from .rolling import blocks, long_windows, minimizers, mix
 
 ANCHOR = 20
 #: Bytes sorted by multikey quicksort; its short segments; rows of a block; surroundings that a task remembers.
-SHALLOW, SHORT, BLOCK_ROWS, SEEN_ROWS = 24, 2_048, 20_000, 200_000
+SHALLOW, SHORT, BLOCK_ROWS, SEEN_ROWS = 24, 2_048, 20_000, 100_000
 
 
 def _anchored(raw: list[bytes], window: int):
@@ -169,20 +170,26 @@ def repeated_in_block(rows: list[tuple], window: int) -> list[tuple]:
     """Ranges (oid, tid, start, end) of rows (key, oid, tid, starts, context) in order of key whose strings a smaller oid has."""
     import numpy as np
 
-    first: dict[tuple, int] = {}
+    first: dict[bytes, int] = {}  # a context has one key
+    of_key: dict[int, list[bytes]] = {}
     for key, oid, _, _, context in rows:
-        held = first.get((key, context))
+        held = first.get(context)
+        if held is None:
+            of_key.setdefault(key, []).append(context)
         if held is None or oid < held:
-            first[key, context] = oid
-    number = {c: i for i, c in enumerate(first)}
-    least, at = smaller_before([c for _, c in first], list(first.values()), window)
-    lowest, highest = np.minimum.reduceat(least, at[:-1]).tolist(), np.maximum.reduceat(least, at[:-1]).tolist()
+            first[context] = oid
+    # Only where a key has several contexts is there an order to find; all windows of a lone one are its own.
+    varied = [c for own in of_key.values() if len(own) > 1 for c in own]
+    number = {c: i for i, c in enumerate(varied)}
+    if varied:
+        least, at = smaller_before(varied, [first[c] for c in varied], window)
+        lowest, highest = np.minimum.reduceat(least, at[:-1]).tolist(), np.maximum.reduceat(least, at[:-1]).tolist()
     out = []
-    for key, oid, tid, starts, context in rows:
-        i = number[key, context]
-        if lowest[i] >= oid:
+    for _, oid, tid, starts, context in rows:
+        i = number.get(context)
+        if (first[context] if i is None else lowest[i]) >= oid:
             continue
-        if highest[i] < oid:
+        if i is None or highest[i] < oid:
             out += [(oid, tid, s, s + len(context)) for s in starts]
             continue
         hit = np.flatnonzero(least[at[i] : at[i + 1]] < oid)
@@ -225,31 +232,29 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
 
     def contexts(batches):
         """Rows to sort (without an end), and rows that are known to be repeated (without a context)."""
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-        seen: dict[bytes, int] = {}
-        hot = np.array(sorted(often), dtype=np.int64)
+        seen: dict[bytes, int] = {}  # a context has one key
+        hot = np.array(often, dtype=np.int64)
         for batch in sliced(batches, 256):
             ids, tids, known = batch.column("oid").to_pylist(), batch.column("tid").to_pylist(), batch.column("seeds")
             raw, out = [t.encode() for t in batch.column("text").to_pylist()], []
             for i, hashes, place in _anchored(raw, window):
-                own: dict[tuple, list[int]] = {}
-                for key, first, end in zip(*surroundings(raw[i], hashes, place, known[i].values.to_numpy(), hot, window), strict=True):
-                    own.setdefault((key, raw[i][first:end]), []).append(first)
-                for (key, context), starts in own.items():
-                    name = hashlib.blake2b(context, digest_size=16, salt=key.to_bytes(8, "little", signed=True)).digest()
-                    least = seen.get(name)
-                    if least is not None and least < ids[i]:
-                        out += [(hash((key, ids[i], s)), ids[i], tids[i], [s], s + len(context), None) for s in starts]
+                text, oid, tid = raw[i], ids[i], tids[i]
+                own: dict[bytes, tuple[int, list[int]]] = {}
+                for key, first, end in zip(*surroundings(text, hashes, place, known[i].values.to_numpy(), hot, window), strict=True):
+                    own.setdefault(text[first:end], (key, []))[1].append(first)
+                for context, (key, starts) in own.items():
+                    least = seen.get(context)
+                    if least is not None and least < oid:
+                        out += [(hash((key, oid, s)), oid, tid, [s], s + len(context), None) for s in starts]
                         continue
                     if least is None and len(seen) >= SEEN_ROWS:
                         seen.clear()
-                    seen[name] = ids[i]
-                    out.append((key, ids[i], tids[i], starts, None, context))
+                    seen[context] = oid
+                    out.append((key, oid, tid, starts, None, context))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
     def sort(batches):
@@ -265,6 +270,7 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "oid long, tid long, start int, end int")
 
 
+@tidy
 def remove_repeats(docs: DataFrame, window: int = 50, as_text: bool = False) -> DataFrame:
     """row (docs' columns but the text), n_bytes, n_removed, spans (removed runs in bytes) and kept.
 

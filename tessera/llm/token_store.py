@@ -18,6 +18,7 @@ Null or empty text is the end id alone.  Repeated rows share all chunks; an empt
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from itertools import accumulate
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import tidy
 from .common import save, sliced, worker_cache
 
 #: Rolling window in ids, mean chunk length in ids (a power of 2), greatest chunk length.
@@ -36,6 +38,8 @@ KEY, FAN = 16, 16
 #: byte for each chunk, OWNED if the payload holds it, plus LENT if another place refers to it.
 ROW = "uid long, doc_id long, kind string, shard int, start long, n_tokens long, keys binary, lens binary, marks binary, borrows boolean, lends boolean, root binary, payload binary"
 OWNED, LENT = 1, 2
+#: Chunks in more than OFTEN places, the COMMON most frequent, are sent to all executors: COMMON * MOST ids at most.
+OFTEN, COMMON = 1_000, 1_000
 
 
 #: Fixed by the byte-level format: what its pre-tokenizer matches.
@@ -47,8 +51,8 @@ class Tokens:
 
     The library itself encodes about 3 MB a second and core.  The same vocabulary run as ranks by tiktoken
     gives the same ids three times as fast, so it does the bulk; the library reads the file, encodes texts
-    that hold a special token's string, and encodes one text of every batch (the shortest that isn't empty) again: a
-    difference is an error.
+    that hold a special token's string, and encodes one text of every batch, chosen by a hash, again: a difference is an
+    error, as is a file whose settings or merges ranks can't stand for.
     """
 
     def __init__(self, json_file: str):
@@ -69,6 +73,7 @@ class Tokens:
             import tiktoken
             from tokenizers import Tokenizer, pre_tokenizers
 
+            checked(json.loads(self.json_file))
             tokenizer = Tokenizer.from_str(self.json_file)
             added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
             byte_of = {c: b for b, c in enumerate(byte_letters(pre_tokenizers.ByteLevel.alphabet()))}
@@ -84,12 +89,22 @@ class Tokens:
         exact = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = [exact(x) if any(s in x for s in special) else ranks.encode_to_numpy(x).tobytes() for x in texts]
         if texts:
-            k = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
+            k = zlib.crc32("".join(x[:16] for x in texts).encode()) % len(texts)
             if out[k] != exact(texts[k]):
                 raise ValueError("the ranks do not encode as the tokenizers library does")
         return out
 
 
+def checked(file: dict) -> None:
+    """Fails unless merging by rank gives what the file's merges give, after the byte-level split."""
+    split, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = file["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if not plain or model["type"] != "BPE" or odd or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError("the file's tokens can't be merged by rank")
+
+
 def byte_letters(alphabet: list[str]) -> list[str]:
     """The letter that byte-level vocabularies write for each byte.
 
@@ -169,6 +184,7 @@ def unpack(payload: bytes):
     return np.frombuffer(_zstd()[1].decompress(payload[1:]), dtype=f"<u{payload[0]}")
 
 
+@tidy
 def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     """Encode docs and write the store; returns its rows, manifests included."""
 
@@ -197,8 +213,8 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
 
     # Which chunks occur again, and which occurrence comes first: digests and places only, no payload.
     places = staged.select("doc_id", "uid", *exploded_keys())
-    owners = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("owner")).where("n > 1").drop("n")
-    again = places.join(owners, "key")
+    owners = save(places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "pos")).alias("owner")).where("n > 1"))
+    again = met(places, owners.drop("n"), common_keys(owners))
     is_owner = (F.col("owner.uid") == F.col("uid")) & (F.col("owner.pos") == F.col("pos"))
     notes = again.groupBy("doc_id", "uid").agg(F.collect_list(F.when(~is_owner, F.col("pos"))).alias("foreign"), F.collect_list(F.when(is_owner, F.col("pos"))).alias("lent"))
     notes = notes.select("uid", "doc_id", F.lit(0).alias("after"), "foreign", "lent")
@@ -242,6 +258,7 @@ def write(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     return save(rows.mapInArrow(shards, ROW))
 
 
+@tidy
 def read(store: DataFrame, checksums: bool = False) -> DataFrame:
     """uid, doc_id, start, n_tokens and ``ids`` (little-endian unsigned 32-bit, as bytes) of every document, verified.
 
@@ -298,13 +315,25 @@ def read(store: DataFrame, checksums: bool = False) -> DataFrame:
     result = f"uid long, doc_id long, shard int, start long, n_tokens long, {name} {'long' if checksums else 'binary'}"
     chunks = documents.where("lends").select("keys", "lens", "marks", "payload").mapInArrow(lend, "key binary, chunk binary")
     wanted = documents.where("borrows").select("uid", "marks", *exploded_keys()).where(F.substring("marks", F.col("pos") + 1, F.lit(1)) == F.lit(b"\0")).select("uid", "pos", "key")
-    parts = wanted.join(chunks, "key").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("parts"))
+    parts = met(wanted, chunks, common_keys(wanted.groupBy("key").agg(F.count("*").alias("n")))).groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("parts"))
     parts_type = parts.schema["parts"].dataType
     alone = documents.where("not borrows").select(*columns, F.lit(None).cast(parts_type).alias("parts")).mapInArrow(rebuild, result)
     shared = documents.where("borrows").select(*columns).join(parts, "uid", "left").mapInArrow(rebuild, result)
     return alone.unionByName(shared).join(F.broadcast(base), "shard").select("uid", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", name)
 
 
+def common_keys(counts: DataFrame) -> DataFrame:
+    """The keys of counts(key, n) that most rows have, COMMON at most; no other has more than one row in COMMON."""
+    return save(counts.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(COMMON).select("key"))
+
+
+def met(many: DataFrame, one: DataFrame, common: DataFrame) -> DataFrame:
+    """many joined with one, which has a row for each key: rows of common keys stay where they are."""
+    common = F.broadcast(common)
+    near = many.join(F.broadcast(one.join(common, "key")), "key")
+    return near.unionByName(many.join(common, "key", "left_anti").join(one, "key"))
+
+
 def exploded_keys() -> list:
     """pos and key of each chunk in the column keys."""
     at = F.explode(F.sequence(F.lit(0), (F.octet_length("keys") / KEY).cast("int") - 1)).alias("pos")
@@ -315,6 +344,7 @@ def leaves(keys: bytes) -> list[bytes]:
     return [keys[i : i + KEY] for i in range(0, len(keys), KEY)]
 
 
+@tidy
 def digests(docs: DataFrame, tokens: Tokens, end_id: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the store."""
     return read(write(docs, tokens, end_id), checksums=True).select("doc_id", "start", "n_tokens", "ids_crc32")

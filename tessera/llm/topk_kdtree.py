@@ -20,6 +20,7 @@ import pickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import save
 
 SCALE = 1024
@@ -147,6 +148,7 @@ def met(trees: DataFrame, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame
     return rows.repartition("shard", "part").sortWithinPartitions("shard", "d", "part", "block").mapInArrow(visit, f"{FOUND}, home int, d int, block long, queries binary")
 
 
+@tidy
 def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the highest inner product for each query."""
     points = usable(vectors, id_col, vector_col)

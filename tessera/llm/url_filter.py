@@ -13,6 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tidy
 from .common import save
 
 #: (verdict, host and path prefix); the longest that fits decides.
@@ -117,6 +118,7 @@ def rarest(sets: DataFrame, counts: DataFrame) -> DataFrame:
     return save(each.groupBy("antecedent").agg(F.min_by("token", F.struct("rows", "token")).alias("key")))
 
 
+@tidy
 def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow") -> DataFrame:
     """Judge every URL: page id, host, path, rule, verdict, by_method (true if a mined rule decided).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.similarity import search_confidence
 from ..sources.kb import KnowledgeBase
-from ..sources.scratch import stored
+from ..sources.scratch import stored, tidy
 
 #: Scores that are equal but for rounding must tie.
 DIGITS = 12
@@ -79,6 +79,7 @@ def typed_candidates(hits: DataFrame, kb: KnowledgeBase, config: Config) -> Data
     return hits.join(types, ["value", "uri"])
 
 
+@tidy
 def search_entities(cells: DataFrame, kb: KnowledgeBase, config: Config) -> DataFrame:
     """candidates: table_id, col_idx, row_idx, rank, header, value, source, uri, label, confidence, score, types.
 

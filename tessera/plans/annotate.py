@@ -12,7 +12,7 @@ from ..functions import seeds, text
 from ..operators import column_types, mapping, relations, search, selection, uri
 from ..sources import tables
 from ..sources.kb import KnowledgeBase
-from ..sources.scratch import stored
+from ..sources.scratch import stored, tidy
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,7 @@ def run_cta(cells: DataFrame, kb: KnowledgeBase, config: Config | None = None) -
     return ColumnTypes(selection.assign_types(types, headers), related, candidates)
 
 
+@tidy
 def run_cea(cells: DataFrame, kb: KnowledgeBase, config: Config | None = None, mode: str = "all") -> DataFrame:
     """Entities of cells of all rows: every Wikidata candidate, or mode="best", the first."""
     config = config or Config()
@@ -67,6 +68,7 @@ def run_cea(cells: DataFrame, kb: KnowledgeBase, config: Config | None = None, m
     return selection.best_entity(candidates) if mode == "best" else selection.cell_entities(candidates)
 
 
+@tidy
 def run_batch(spark: SparkSession, folder: str, targets_path: str, kb: KnowledgeBase, task: str, config: Config | None = None) -> DataFrame:
     """Targets (task "cta" or "cea") filled in from the folder's tables; only tables with targets are annotated."""
     cells = tables.read_cells(spark, folder)

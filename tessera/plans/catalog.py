@@ -12,7 +12,7 @@ from ..config import Config
 from ..functions import seeds, similarity, text
 from ..operators import column_types, mapping, relations, search, selection, uri
 from ..sources import service, tables
-from ..sources.scratch import new_folder, stored
+from ..sources.scratch import new_folder, stored, tidy
 from . import fixtures, oracles
 
 CONFIG = Config(as_of_year=2024, correct=False)
@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = tidy(f)
         if sql is not None:
             SQL[f.__name__] = sql
         return f
