@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, jaccard_join, ppm_language, quality_rules, source_mix, substring_dedup, suffix_dedup, token_store, topk_kdtree, url_filter
-from tests.llm.test_operators import by_force_bytes, by_force_words, sentence, words_of
+from tests.llm.test_operators import by_force_bytes, by_force_words, groups_by_force, sentence, words_of
 
 #: Names that operators use inside.
 CLASHES = ["key", "n", "row", "shard", "d", "v", "id", "uid", "tokens", "items", "block", "queries", "target", "hash", "size", "lang_pred", "score", "anchor", "seeds", "bucket", "start", "end", "ids", "copies", "label", "host", "path", "verdict", "component", "kept"]
@@ -34,9 +34,9 @@ def texts_of(rows):
 
 def test_jaccard(docs, rows):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs, 4, 85).collect())
-    group = {1: 0, 12: 11, 2: 2}
-    sets = [len({tuple(w[i : i + 4]) for i in range(len(w) - 3)}) if len(w) > 3 else bool(w) for w in (words_of(t) for _, t in texts_of(rows))]
-    assert got == sorted((r[0], n, group.get(r[0], r[0])) for r, n in zip(rows, sets))
+    sets, group = groups_by_force(rows, 4, 85)
+    assert group[1] == 0 and group[12] == group[11] == 5
+    assert got == sorted((r[0], len(sets[r[0]]), group[r[0]]) for r in rows)
 
 
 def test_quality(docs, rows):
