@@ -153,8 +153,11 @@ def test_annotations_as_files(spark, folder, kb, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
 
 
-def test_scratch_tables_go(spark, folder, kb, tmp_path):
-    from tessera.sources.scratch import stored, tidy
+def test_scratch_tables_go(spark, folder, kb):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tessera.sources.scratch import new_folder, stored, tidy
 
     @tidy
     def inner(df):
@@ -164,16 +167,17 @@ def test_scratch_tables_go(spark, folder, kb, tmp_path):
     def outer(df):
         return stored(inner(df)).union(stored(inner(df)))
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one = inner(spark.range(4))
-        assert len(list(tmp_path.iterdir())) == 1 and sorted(r["x"] for r in one.collect()) == [4, 6]
-        two = outer(spark.range(4))
-        assert len(list(tmp_path.iterdir())) == 3 and two.count() == 4
-        with pytest.raises(ZeroDivisionError):
-            tidy(lambda df: stored(df).count() / 0)(spark.range(2))
-        assert len(list(tmp_path.iterdir())) == 3
-        run_cea(tables.read_cells(spark, folder), kb, Config(as_of_year=2024), "best").collect()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    base = Path(urlparse(new_folder(spark)).path).parent
+    before = set(base.iterdir())
+
+    def new():
+        return len(set(base.iterdir()) - before)
+
+    one = inner(spark.range(4))
+    assert new() == 1 and sorted(r["x"] for r in one.collect()) == [4, 6]
+    two = outer(spark.range(4))
+    assert new() == 3 and two.count() == 4
+    with pytest.raises(ZeroDivisionError):
+        tidy(lambda df: stored(df).count() / 0)(spark.range(2))
+    assert new() == 3
+    run_cea(tables.read_cells(spark, folder), kb, Config(as_of_year=2024), "best").collect()
