@@ -19,7 +19,8 @@ def uri_evidence(candidates: DataFrame, config: Config) -> DataFrame:
     """KEY and n: how many values of other columns of its row a candidate is the first to hold in its URI."""
     values = candidates.where(F.length("value") >= config.min_uri_value_length).select("table_id", "row_idx", F.col("col_idx").alias("other"), text.matching_form(F.col("value")).alias("v")).where("v <> ''").distinct()
     x = candidates.select(*KEY, F.lower("uri").alias("uri"), text.matching_form(text.last_part(F.lower("uri"))).alias("part"))
-    held = x.join(values, ["table_id", "row_idx"]).where((F.col("col_idx") != F.col("other")) & F.contains("part", F.col("v"))).select(*KEY, "uri", "v").distinct()
+    # As many rows as cells, however small their file: by its size Spark would broadcast them.
+    held = x.join(values.hint("merge"), ["table_id", "row_idx"]).where((F.col("col_idx") != F.col("other")) & F.contains("part", F.col("v"))).select(*KEY, "uri", "v").distinct()
     first = Window.partitionBy("table_id", "uri", "row_idx", "v").orderBy("col_idx", "rank")
     return held.withColumn("claim", F.row_number().over(first)).where("claim = 1").groupBy(*KEY).agg(F.count("*").alias("n"))
 
