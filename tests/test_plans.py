@@ -1,9 +1,15 @@
 """Joins that Spark must not broadcast, whatever the size of their files."""
 
+import re
+
 import pytest
 
 from tessera.config import Config
 from tessera.operators import uri
+from tessera.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+QUERIES = ["best_entity_per_column"]
 
 
 @pytest.fixture
@@ -20,3 +26,25 @@ def test_uri_evidence_sends_no_cells_to_the_driver(candidates):
     x = uri.uri_evidence(candidates, Config())
     assert {(r["col_idx"], r["row_idx"], r["n"]) for r in x.collect()} == {(0, i, 1) for i in range(3)}
     assert "BroadcastExchange" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def searched(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("searched") / "candidates.parquet")
+    catalog.Steps(spark, SF).candidates.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query_joins_rows_without_broadcast(spark, searched, monkeypatch, name):
+    class Planned(Exception):
+        pass
+
+    def planned(df):
+        raise Planned(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(catalog.Steps, "candidates", searched)
+    monkeypatch.setattr(catalog, "stored", planned)
+    with pytest.raises(Planned) as plan:
+        catalog.queries()[name](spark, SF)
+    assert re.search(r"SortMergeJoin \[table_id#\d+, row_idx#\d+\]", str(plan.value))
