@@ -9,7 +9,7 @@ from tessera.operators import uri
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["best_entity_per_column", "cta_targets_left_join"]
+QUERIES = ["best_entity_per_column", "cta_targets_left_join", "type_votes"]
 
 
 @pytest.fixture
