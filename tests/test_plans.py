@@ -9,7 +9,7 @@ from tessera.operators import uri
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["best_entity_per_column", "cta_targets_left_join", "type_votes", "leading_types", "parent_types", "relation_boost", "prefer_wikidata", "cta_final"]
+QUERIES = ["best_entity_per_column", "cta_targets_left_join", "type_votes", "leading_types", "parent_types", "relation_boost", "prefer_wikidata", "cta_final", "cta_report"]
 
 
 @pytest.fixture
