@@ -13,10 +13,15 @@ COLUMN = ["table_id", "col_idx"]
 
 
 def best_entities(candidates: DataFrame) -> DataFrame:
-    """One candidate per column and entity: the best score, the first of equals; first is the entity's first place."""
-    by = Window.partitionBy(*COLUMN, "uri").orderBy(F.desc("score"), "row_idx", "rank")
-    first = F.min(F.struct("row_idx", "rank")).over(Window.partitionBy(*COLUMN, "uri"))
-    return candidates.withColumn("first", first).withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
+    """One candidate per column and entity: the best score, the first of equals; first is the entity's first place.
+
+    An aggregation, so that a task sends one row per entity, however many cells hold it.
+    """
+    key = [*COLUMN, "uri"]
+    rest = F.struct(*[c for c in candidates.columns if c not in key])
+    best = F.max_by(rest, F.struct("score", -F.col("row_idx"), -F.col("rank"))).alias("best")
+    x = candidates.groupBy(*key).agg(best, F.min(F.struct("row_idx", "rank")).alias("first"))
+    return x.select(*[c if c in key else f"best.{c}" for c in candidates.columns], "first")
 
 
 def type_events(entities: DataFrame, parents: DataFrame, config: Config) -> DataFrame:

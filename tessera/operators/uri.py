@@ -25,7 +25,8 @@ def uri_evidence(candidates: DataFrame, config: Config) -> DataFrame:
     return held.withColumn("claim", F.row_number().over(first)).where("claim = 1").groupBy(*KEY).agg(F.count("*").alias("n"))
 
 
-def boost_by_uri(candidates: DataFrame, config: Config) -> DataFrame:
-    x = candidates.join(uri_evidence(candidates, config), KEY, "left")
+def boost_by_uri(candidates: DataFrame, config: Config, found: DataFrame | None = None) -> DataFrame:
+    """Candidates with the score raised by evidence.  found: the same before their types were mapped, so that evidence needs no mapping."""
+    x = candidates.join(uri_evidence(candidates if found is None else found, config), KEY, "left")
     score = F.least(F.lit(1.0), F.col("score") + config.uri_boost * F.coalesce("n", F.lit(0)))
     return x.withColumn("score", F.round(score, 12)).drop("n")

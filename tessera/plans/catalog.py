@@ -60,7 +60,7 @@ class Steps:
 
     @cached_property
     def scored(self):
-        return stored(uri.boost_by_uri(self.mapped, CONFIG))
+        return stored(uri.boost_by_uri(self.mapped, CONFIG, self.candidates))
 
     @cached_property
     def votes(self):

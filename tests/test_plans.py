@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tessera.config import Config
-from tessera.operators import uri
+from tessera.operators import column_types, uri
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,19 @@ def test_query_joins_rows_without_broadcast(spark, searched, monkeypatch, name):
     with pytest.raises(Planned) as plan:
         catalog.queries()[name](spark, SF)
     assert re.search(r"SortMergeJoin \[table_id#\d+, row_idx#\d+\]", str(plan.value))
+
+
+def test_best_entities_sends_one_row_per_entity(spark):
+    """Cells of one entity are not ranked in one task: they are aggregated before they are sent."""
+    rows = [("t", c, r, k, "u%d" % (r % 2), score, "v%d" % r) for c in range(2) for r, k, score in ((0, 1, 0.5), (1, 2, 0.7), (2, 2, 0.9), (2, 1, 0.9), (3, 1, 0.1), (4, 1, 0.9))]
+    names = ["table_id", "col_idx", "row_idx", "rank", "uri", "score", "value"]
+    x = column_types.best_entities(spark.createDataFrame(rows, names))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("partial_max_by") > plan.index("Exchange")
+    assert x.columns == [*names, "first"]
+    want = []
+    for c in range(2):
+        for u in ("u0", "u1"):
+            own = [r for r in rows if r[1] == c and r[4] == u]
+            want.append((*min(own, key=lambda r: (-r[5], r[2], r[3])), min((r[2], r[3]) for r in own)))
+    assert sorted((*r[:-1], tuple(r[-1])) for r in x.collect()) == sorted(want)
