@@ -112,11 +112,35 @@ def seeded(reps: DataFrame, again: DataFrame) -> DataFrame:
     return maybe.select(*ID, "text").join(again.groupBy("oid").agg(F.collect_list("anchor").alias("seeds")), "oid")
 
 
+def values(column) -> list:
+    """column.to_pylist(), for integers, lists of integers and bytes in a fraction of the time."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind, nulls = column.type, column.null_count
+    if pa.types.is_integer(kind):
+        out = column.fill_null(0).to_numpy().tolist() if nulls else column.to_numpy().tolist()
+    elif pa.types.is_list(kind) and pa.types.is_integer(kind.value_type) and not nulls:
+        flat, at = values(column.flatten()), column.offsets.to_numpy()
+        at = (at - at[0]).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+    elif pa.types.is_binary(kind) and len(column) and column.buffers()[2] is not None:
+        at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        raw, at = memoryview(column.buffers()[2])[at[0] : at[-1]].tobytes(), (at - at[0]).tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+    else:
+        return column.to_pylist()
+    if nulls:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
+    return out
+
+
 def grouped(batches, names: list[str], rows: int):
     """Lists of rows (tuples of these columns) of batches that are sorted by the first, of about ``rows``, never parting equals."""
     held: list[tuple] = []
     for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        held += zip(*(values(batch.column(c)) for c in names), strict=True)
         cut = len(held)
         while cut and held[cut - 1][0] == held[-1][0]:
             cut -= 1

@@ -199,6 +199,17 @@ def repeated_in_block(rows: list[tuple], window: int) -> list[tuple]:
     return out
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def surroundings(raw: bytes, hashes, place, seeds, often, window: int):
     """(key, first byte, end) of the windows around each seed of a document: all that it is the anchor of, or if it is frequent one by one."""
     import numpy as np
@@ -244,17 +255,19 @@ def repeated_ranges(reps: DataFrame, window: int) -> DataFrame:
             for i, hashes, place in _anchored(raw, window):
                 text, oid, tid = raw[i], ids[i], tids[i]
                 own: dict[bytes, tuple[int, list[int]]] = {}
+                covered: list[tuple[int, int]] = []
                 for key, first, end in zip(*surroundings(text, hashes, place, known[i].values.to_numpy(), hot, window), strict=True):
                     own.setdefault(text[first:end], (key, []))[1].append(first)
                 for context, (key, starts) in own.items():
                     least = seen.get(context)
                     if least is not None and least < oid:
-                        out += [(hash((key, oid, s)), oid, tid, [s], s + len(context), None) for s in starts]
+                        covered += [(s, s + len(context)) for s in starts]
                         continue
                     if least is None and len(seen) >= SEEN_ROWS:
                         seen.clear()
                     seen[context] = oid
                     out.append((key, oid, tid, starts, None, context))
+                out += [(hash((oid, tid, s)), oid, tid, [s], end, None) for s, end in joined(covered)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
     def sort(batches):

@@ -550,3 +550,39 @@ def test_code_lengths_are_exact():
     model = ppm_language.Model({"x": tree})
     for t in (b"abra", b"zebra", b"", b"cadabab"):
         assert model.lengths([t, b"other"], {})[0, 0] == pytest.approx(bits(t), rel=1e-5)
+
+
+def test_columns_as_lists():
+    import pyarrow as pa
+
+    columns = [
+        pa.array([3, None, -(2**63), 2**63 - 1], pa.int64()),
+        pa.array([1, 2, 3], pa.int32()),
+        pa.array([[1, 2], [], [3]], pa.list_(pa.int32())),
+        pa.array([[1, None], None, [3]], pa.list_(pa.int32())),
+        pa.array([b"", b"ab\0", None, b"c"], pa.binary()),
+        pa.array([None, None], pa.binary()),
+        pa.array([b"", b""], pa.binary()),
+        pa.array(["x", None]),
+    ]
+    for c in columns:
+        for own in (c, c[1:], c[1:2], c[:0], c.slice(2, 1)):
+            assert repeats.values(own) == own.to_pylist()
+
+
+def test_known_repeats_of_a_document_are_one_row(spark, monkeypatch):
+    """What a task knows to be repeated goes on as whole ranges, not as a row for each anchor."""
+    passage = sentence(5, 800)[:3000]
+    docs = spark.createDataFrame([(i, passage + f" own end of document {i} " * 3) for i in range(24)], "doc_id long, text string").coalesce(1)
+    rows, plain = [], type(docs).mapInArrow
+
+    def spy(self, f, schema, *args, **kwargs):
+        out = plain(self, f, schema, *args, **kwargs)
+        if "context binary" in str(schema):
+            rows.extend(out.where("context is null").groupBy("oid").count().collect())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spy)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(docs).collect()}
+    assert got[0] < 3000 and all(got[i] >= 3000 for i in range(1, 24))
+    assert rows and all(r["count"] <= 3 for r in rows)
