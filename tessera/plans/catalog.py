@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,9 @@ class Steps:
 
     @cached_property
     def candidates(self):
-        return stored(search.search_entities(self.cells, self.kb, CONFIG))
+        # Read up to three times in one plan: unstored, the plan would hold the making of each as often, and the driver with it.
+        kb = replace(self.kb, search=stored(self.kb.search), types=stored(self.kb.types))
+        return stored(search.search_entities(stored(self.cells), kb, CONFIG))
 
     @cached_property
     def mapped(self):

@@ -7,6 +7,7 @@ import pytest
 from tessera.config import Config
 from tessera.operators import column_types, uri
 from tessera.plans import catalog
+from tessera.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 QUERIES = ["best_entity_per_column", "cta_targets_left_join", "type_votes", "leading_types", "parent_types", "relation_boost", "prefer_wikidata", "cta_final", "cta_report"]
@@ -64,3 +65,25 @@ def test_best_entities_sends_one_row_per_entity(spark):
             own = [r for r in rows if r[1] == c and r[4] == u]
             want.append((*min(own, key=lambda r: (-r[5], r[2], r[3])), min((r[2], r[3]) for r in own)))
     assert sorted((*r[:-1], tuple(r[-1])) for r in x.collect()) == sorted(want)
+
+
+SEARCHES = ["cta_report"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_query_searches_stored_tables(spark, monkeypatch, name):
+    """The plan of the candidates reads cells and knowledge base, and doesn't hold their making."""
+
+    class Planned(Exception):
+        pass
+
+    def planned(df):
+        if {"rank", "types"} <= set(df.columns):
+            raise Planned(scratch._roots(df))
+        return scratch.stored(df)
+
+    monkeypatch.setattr(catalog, "stored", planned)
+    with pytest.raises(Planned) as plan:
+        catalog.queries()[name](spark, SF)
+    roots = plan.value.args[0]
+    assert roots and not [path for path in roots if path.endswith(("nation.parquet", "customer.parquet", "part.parquet"))]
