@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
+from ..sources.scratch import stored
 from .mapping import to_wikidata
 
 COLUMN = ["table_id", "col_idx"]
@@ -84,6 +85,7 @@ def relation_boost(types: DataFrame, relations: DataFrame, seeds: DataFrame, con
 
     A pair of types fits if a direct relation of that name joins them, or if no direct relation has the name.
     """
+    types, relations = stored(types), stored(relations)  # read by both directions, whose plan would hold the making of each twice and more
     direct = F.broadcast(seeds.where("direct").select("source_type", "target_type", "relation"))
     names = direct.select("relation").distinct().withColumn("direct", F.lit(True))
     r = relations.select("table_id", "source_column", "target_column", "relation", F.col("confidence").alias("sure")).join(F.broadcast(names), "relation", "left")

@@ -3,6 +3,8 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.operators import column_types, uri
@@ -67,7 +69,7 @@ def test_best_entities_sends_one_row_per_entity(spark):
     assert sorted((*r[:-1], tuple(r[-1])) for r in x.collect()) == sorted(want)
 
 
-SEARCHES = ["cta_report"]
+SEARCHES = ["cta_report", "relation_boost"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
@@ -87,3 +89,14 @@ def test_query_searches_stored_tables(spark, monkeypatch, name):
         catalog.queries()[name](spark, SF)
     roots = plan.value.args[0]
     assert roots and not [path for path in roots if path.endswith(("nation.parquet", "customer.parquet", "part.parquet"))]
+
+
+def test_relation_boost_plan_holds_its_inputs_once(spark):
+    """Types and relations are read, not made again for each direction and side."""
+    types = spark.createDataFrame([("t", 0, 1, "a", 0.5), ("t", 1, 1, "b", 0.5)], "table_id string, col_idx int, place int, type_uri string, confidence double")
+    related = spark.createDataFrame([("t", 0, 1, "r", 0.5)], "table_id string, source_column int, target_column int, relation string, confidence double")
+    seeds = spark.createDataFrame([("a", "b", "r", True)], "source_type string, target_type string, relation string, direct boolean")
+    types = types.withColumn("n", F.count("*").over(Window.partitionBy("table_id")))
+    x = column_types.relation_boost(types, related, seeds, Config())
+    assert "Window" not in x._jdf.queryExecution().executedPlan().toString()
+    assert {(r["type_uri"], r["confidence"]) for r in x.collect()} == {("a", 0.6), ("b", 0.6)}
