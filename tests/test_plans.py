@@ -69,7 +69,7 @@ def test_best_entities_sends_one_row_per_entity(spark):
     assert sorted((*r[:-1], tuple(r[-1])) for r in x.collect()) == sorted(want)
 
 
-SEARCHES = ["cta_report", "relation_boost", "cta_targets_left_join", "prefer_wikidata", "type_votes", "cta_final", "leading_types"]
+SEARCHES = ["cta_report", "relation_boost", "cta_targets_left_join", "prefer_wikidata", "type_votes", "cta_final", "leading_types", "parent_types"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
